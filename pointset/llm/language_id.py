@@ -203,7 +203,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, net).drop("text")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, **more) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3, **more) -> DataFrame:
     """``docs`` without the documents that have no letter, or no language with a probability of ``least``.  Columns and texts stay as they are."""
     net = fit(docs.where(fold(id_col) != 0), id_col, text_col, lang_col, **more)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are scored, a document's score is their noisy-or.
 
-Only documents have labels.  A sentence's score is a logistic function of its words (hashed to a table of fixed size), a
+Only documents have labels.  A sentence's score is a logistic function of its words and their beginnings (hashed to a table of fixed size), a
 document's is 1 - prod(1 - sentence score), and the weights are trained in numpy on that through the document labels of a
 bounded sample (``max_rows``), with a penalty on their size so that only words that carry the label keep weight.  The
 same sentence scores then locate the offending sentences.
@@ -27,6 +27,8 @@ from pointset.llm.jaccard_join import LOWER, WORD_BASE, slices
 from pointset.llm.language_id import fold, labelled_sample
 
 BITS = 18
+#: Bytes of a word's beginning that are features too, for words of which only the stem comes again.
+PREFIXES = (4, 5, 6, 7)
 MARK = np.zeros(256, bool)
 MARK[:128] = True
 MARK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -34,10 +36,10 @@ STOP = np.zeros(256, bool)
 STOP[[10, 13, 33, 46, 63]] = True
 
 
-def marked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, start and end of every word."""
+def marked_words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Fingerprint, start and end of every word; then the fingerprints of its first so many bytes."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     low = LOWER[data]
     gap = MARK[low]
     before, after = np.ones(len(low), bool), np.ones(len(low), bool)
@@ -46,13 +48,14 @@ def marked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     before[inner] = True
     after[inner - 1] = True
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    return Prefix(low, WORD_BASE).of(starts, ends), starts, ends
+    sums = Prefix(low, WORD_BASE)
+    return sums.of(starts, ends), starts, ends, *(sums.of(starts, np.minimum(ends, starts + k)) for k in prefixes)
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word features; where each sentence's words begin; each sentence's text; the sentences' byte ranges (start, end)."""
-    h, starts, ends = marked_words(data, offsets)
-    feature = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    """Features of each word; where each sentence's words begin; each sentence's text; the sentences' byte ranges (start, end)."""
+    h, starts, ends, *beginnings = marked_words(data, offsets, PREFIXES)
+    feature = np.stack([(x >> np.uint64(64 - BITS)).astype(np.int32) for x in (h, *beginnings)], 1)
     stops = np.cumsum(STOP[data]) if len(data) else np.zeros(0, np.int64)
     text = np.searchsorted(offsets, starts, side="right") - 1
     new = np.ones(len(h), bool)
@@ -68,27 +71,36 @@ class Model:
     bias: float
 
 
-def train(feature: np.ndarray, first: np.ndarray, bag: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.15, penalty: float = 2e-4, least: int = 4) -> Model:
-    """Adam on the log-likelihood of the bags; weights shrink by ``penalty``, words in fewer than ``least`` sentences have none."""
-    known, inverse, counts = np.unique(feature, return_inverse=True, return_counts=True)
+def train(feature: np.ndarray, first: np.ndarray, bag: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.1, bags: float = 0.05) -> Model:
+    """Adam on the log-likelihood of the bags.
+
+    The L1 penalty is what ``bags`` unexplained toxic documents of ten sentences can pull a word: words that only a few documents share stay at zero.
+    """
+    known, inverse = np.unique(feature, return_inverse=True)
+    inverse, kinds = inverse.ravel(), feature.shape[1]
     w, b = np.zeros(len(known)), -5.0
     m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
-    use = counts >= least
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feature))))
-    balance = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    begin = first * kinds
+    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(begin, len(inverse))))
+    toxic = max(1, int((label == 1).sum()))
+    balance = np.where(label == 1, 0.5 / toxic, 0.5 / max(1, len(label) - toxic))
+    penalty = bags * 0.5 / toxic
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[inverse], first) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[inverse], begin) + b, -30, 30)))
         quiet = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(label))
         doc = np.clip(1 - np.exp(quiet), 1e-9, 1 - 1e-9)
-        # d loss / d score of a sentence: p for clean documents, -p * (1 - doc) / doc for toxic ones
+        # the loss by a sentence's logit: p in clean documents, -p * (1 - doc) / doc in toxic ones
         g = np.where(label[bag] == 1, -p * (1 - doc[bag]) / doc[bag], p) * balance[bag]
-        gw = np.bincount(inverse, g[sentence], minlength=len(known)) * use
+        gw = np.bincount(inverse, g[sentence], minlength=len(known))
+        gw = np.where(w == 0, np.sign(gw) * np.maximum(np.abs(gw) - penalty, 0), gw + penalty * np.sign(w))
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         scale = 1 - 0.9**step, 1 - 0.999**step
-        w -= rate * (m / scale[0]) / (np.sqrt(v / scale[1]) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty * 100, 0)
+        moved = w - rate * (m / scale[0]) / (np.sqrt(v / scale[1]) + 1e-6)
+        crossed = w * moved < 0
+        m[crossed] = 0
+        w = np.where(crossed, 0, moved)
         b = min(b - rate * (mb / scale[0]) / (np.sqrt(vb / scale[1]) + 1e-6), -2.0)
     table = np.zeros(1 << BITS)
     table[known] = w
@@ -126,7 +138,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
                 feature, first, text, at = sentences(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(first):
                     continue
-                p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(own.weights[feature], first) + own.bias, -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(own.weights[feature].sum(1), first) + own.bias, -30, 30)))
                 quiet[a:b] = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b - a)
                 for k in np.flatnonzero(p >= offending):
                     base = offsets[a + text[k]] - offsets[a]
