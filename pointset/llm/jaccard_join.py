@@ -10,15 +10,18 @@ How it runs on Spark
    are equal.  A document sends the fingerprint of each part, and of its parts in the next class if a partner can be
    there; empty parts only if it has k - H of them.  Equal part fingerprints make candidate links to the smallest id of
    their group: a star, never all pairs.  Within a map batch equal sets and equal parts collapse first.
-2. *Blocks.*  Components of the candidate links are blocks; a linked pair is always in one block.  A block's sets are
-   gathered in chunks of bounded size, each with the block's first document.
+2. *Blocks.*  Candidate links whose bitmaps rule the similarity out go; components of the others are blocks.  A
+   block's sets are gathered in chunks of bounded size, each with the block's first document.
 3. *Signature trees.*  A chunk's documents become a tree: nodes hold the OR of their token bitmaps, their size range, and
    how many tokens may share a bit.  A dual traversal of the tree with itself prunes a pair of nodes by size range, by
    the largest possible overlap, and when both are known to lie in one component.  What remains at the leaves is
    verified on the sets.
 4. Blocks of several chunks that are not one component yet: the documents outside the largest component meet all chunks
-   of the block, tree against tree.  So every pair of a block is either verified, proved too far apart by a bound, or
-   already connected; no link that changes a component is lost, whatever the block's size.
+   of the block, tree against tree.
+5. Groups of an equal part that still hold several components (a passage that many documents share can make a part): the
+   same dual traversal, on bitmaps only; pairs that it cannot rule out are verified on the sets.
+   So every pair with an equal part is verified, proved too far apart by a bound, or already connected; no link that
+   changes a component is lost, whatever the sizes.
 
 Shingles are compared by 64-bit fingerprints, equal sets by 128-bit fingerprints.
 
@@ -29,7 +32,7 @@ that repeat an id are one document in the links and keep a row each; null ids ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,18 +151,20 @@ def _unpack(raws: list[bytes], dtype: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def stars(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id of each key, and the distinct links (id, smallest id) of the other ids."""
+def stars(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest id of each key; the distinct links (id, smallest id) of the other ids; the rows of keys that come more than once."""
     keys = keys[np.lexsort((keys["doc"], keys["key"]))]
     first = np.ones(len(keys), bool)
     first[1:] = keys["key"][1:] != keys["key"][:-1]
-    centre = keys["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else keys["doc"]
+    group = np.cumsum(first) - 1
+    centre = keys["doc"][np.flatnonzero(first)][group] if len(keys) else keys["doc"]
     links = np.stack([keys["doc"][~first], centre[~first]], 1)
-    return keys[first], np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+    shared = keys[np.bincount(group)[group] > 1] if len(keys) else keys
+    return keys[first], np.unique(links[links[:, 0] != links[:, 1]], axis=0), shared
 
 
 def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 4000, shingles: int = 1 << 20):
-    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("keys", pa.binary()), ("links", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def send(found: list[tuple[int, np.ndarray]], routing: Routing) -> pa.RecordBatch:
         identity, keys, seen = np.empty(len(found), IDENTITY), [], {}
@@ -174,11 +179,11 @@ def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 4000,
             k = routing.keys(s, w)
             keys.append(np.empty(len(k), KEY))
             keys[-1]["key"], keys[-1]["doc"] = k, doc
-        centres, links = stars(np.concatenate(keys) if keys else np.zeros(0, KEY))
+        centres, _, shared = stars(np.concatenate(keys) if keys else np.zeros(0, KEY))
         by_set, set_cuts = split_by((identity["a"] >> np.uint64(20)) % np.uint64(buckets), buckets)
         by_key, key_cuts = split_by((centres["key"] >> np.uint64(20)) % np.uint64(buckets), buckets)
-        identity, centres, shares = identity[by_set], centres[by_key], np.array_split(links, buckets)
-        return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([_pack(identity[set_cuts[b] : set_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(centres[key_cuts[b] : key_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([x.tobytes() for x in shares], pa.binary())], schema=schema)
+        identity, centres, shares = identity[by_set], centres[by_key], [shared[(shared["key"] >> np.uint64(20)) % np.uint64(buckets) == b] for b in range(buckets)]
+        return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([_pack(identity[set_cuts[b] : set_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(centres[key_cuts[b] : key_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(x) for x in shares], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         routing, found, held = Routing(similar), [], 0
@@ -215,12 +220,12 @@ def _routed(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.Record
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: each document, the smallest id with the same set, and the set's size; kind 1: candidate links."""
-    sets, keys, links = [], [], []
+    """kind 0: each document, the smallest id with the same set, and the set's size; kind 1: candidate links; kind 2: parts (u) and the documents that share them (v)."""
+    sets, keys, shared = [], [], []
     for batch in batches:
         sets.append(_unpack(batch.column("sets").to_pylist(), IDENTITY))
         keys.append(_unpack(batch.column("keys").to_pylist(), KEY))
-        links += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("links").to_pylist()]
+        shared.append(_unpack(batch.column("shared").to_pylist(), KEY))
     if not sets:
         return
     x = np.concatenate(sets)
@@ -229,9 +234,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
     first |= x["n"] == 0
     yield _routed(0, x["doc"], x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(x) else x["doc"], x["n"])
-    _, found = stars(np.concatenate(keys))
-    found = np.unique(np.concatenate([found, *links]), axis=0)
-    yield _routed(1, found[:, 0], found[:, 1], np.zeros(len(found)))
+    del x, sets
+    _, links, members = stars(np.unique(np.concatenate(keys + shared)))
+    yield _routed(1, links[:, 0], links[:, 1], np.zeros(len(links)))
+    yield _routed(2, members["key"].view(np.int64) if members["key"].flags.c_contiguous else members["key"].astype(np.uint64).view(np.int64), members["doc"], np.zeros(len(members)))
 
 
 class Forest:
@@ -255,19 +261,38 @@ class Forest:
             self.parent = up
 
 
+def bits_for(n: int) -> int:
+    return 1 << max(6, (max(1, n) - 1).bit_length())
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, np.uint64)
+    at = shingles & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def narrowed(b: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at fewer bits: the low bits of a token still name its place."""
+    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0)
+
+
+def needed(n, m, similar: tuple[int, int]):
+    """The least overlap of linked sets of n and m shingles."""
+    p, q = similar
+    return (p * (n + m) + p + q - 1) // (p + q)
+
+
 class SignatureTree:
     """Level 0 are the documents, in an order that puts like sets together; each further level joins FAN nodes."""
 
-    def __init__(self, members: np.ndarray, sets: list[np.ndarray], bits: int):
-        order = sorted(members.tolist(), key=lambda i: (int(sets[i][0]), len(sets[i])))
+    def __init__(self, members: np.ndarray, maps: list[np.ndarray], sizes: np.ndarray, words: int):
+        rows = {i: narrowed(maps[i], words) for i in members.tolist()}
+        order = sorted(rows, key=lambda i: (rows[i][: min(4, words)].tolist(), int(sizes[i])))
         self.members = np.array(order, np.int64)
-        maps = np.zeros((len(order), bits // 64), np.uint64)
-        for row, i in enumerate(order):
-            at = sets[i] & np.uint64(bits - 1)
-            np.bitwise_or.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        size = np.array([len(sets[i]) for i in order], np.int64)
-        self.maps, self.least, self.most = [maps], [size], [size]
-        self.shared = [size - np.bitwise_count(maps).sum(1, dtype=np.int64)]
+        level, size = np.stack([rows[i] for i in order]), sizes[self.members]
+        self.maps, self.least, self.most = [level], [size], [size]
+        self.shared = [size - np.bitwise_count(level).sum(1, dtype=np.int64)]
         while len(self.maps[-1]) > 1:
             cut = np.arange(0, len(self.maps[-1]), FAN)
             self.maps.append(np.bitwise_or.reduceat(self.maps[-1], cut, axis=0))
@@ -278,15 +303,15 @@ class SignatureTree:
     def components(self, labels: np.ndarray) -> list[np.ndarray]:
         """For each level the component of a node whose documents are all in one, else -1."""
         out = [labels[self.members]]
-        for level in self.maps[1:]:
+        for _ in self.maps[1:]:
             cut = np.arange(0, len(out[-1]), FAN)
             lo, hi = np.minimum.reduceat(out[-1], cut), np.maximum.reduceat(out[-1], cut)
             out.append(np.where(lo == hi, lo, -1))
         return out
 
 
-def dual_traversal(one: SignatureTree, two: SignatureTree, sets: list[np.ndarray], forest: Forest, similar: tuple[int, int], at_once: int = 1 << 15) -> None:
-    """Links the documents of two trees (or of one with itself) in ``forest``."""
+def dual_traversal(one: SignatureTree, two: SignatureTree, forest: Forest, similar: tuple[int, int], linked: Callable[[int, int], bool], at_once: int = 1 << 15) -> None:
+    """Calls ``linked`` for pairs of documents of two trees (or of one with itself) that no bound rules out and that are not connected yet; connects them where it says so."""
     p, q = similar
     same = one is two
     stack = [(len(one.maps) - 1, len(two.maps) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -297,24 +322,22 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, sets: list[np.ndarray
         least_a, least_b = one.least[la][a], two.least[lb][b]
         can = (one.most[la][a] * q >= least_b * p) & (two.most[lb][b] * q >= least_a * p)
         can &= (comps[0][la][a] != comps[1][lb][b]) | (comps[0][la][a] < 0)
-        a, b, need = a[can], b[can], (p * (least_a + least_b) + p + q - 1)[can] // (p + q)
+        a, b, need = a[can], b[can], needed(least_a[can], least_b[can], similar)
         overlap = np.bitwise_count(one.maps[la][a] & two.maps[lb][b]).sum(1, dtype=np.int64) + np.minimum(one.shared[la][a], two.shared[lb][b])
         can = overlap >= need
         a, b = a[can], b[can]
+        if same and la == lb == 0:
+            a, b = a[a < b], b[a < b]
         if not len(a):
             continue
         if la == lb == 0:
-            linked = False
+            changed = False
             for i, j in zip(one.members[a].tolist(), two.members[b].tolist(), strict=True):
                 r, s = forest.find(i), forest.find(j)
-                if r == s:
-                    continue
-                x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if common * q >= p * (len(x) + len(y) - common):
+                if r != s and linked(i, j):
                     forest.parent[max(r, s)] = min(r, s)
-                    linked = True
-            if linked:
+                    changed = True
+            if changed:
                 labels = forest.flatten()
                 comps = (one.components(labels), two.components(labels))
             continue
@@ -336,46 +359,59 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, sets: list[np.ndarray
             stack.append((la, lb, ca[k : k + at_once], cb[k : k + at_once]))
 
 
-def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
-    """Rows (u, v): which components of the group's documents are linked."""
+def similar_sets(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common * similar[1] >= similar[0] * (len(x) + len(y) - common)
+
+
+def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, similar: tuple[int, int]) -> np.ndarray:
+    """With sets: rows (u, v) of components of the group's documents that are linked.  Without: pairs of documents that the bitmaps do not rule out."""
     _, labels = np.unique(comp, return_inverse=True)
     first = np.full(labels.max() + 1, len(comp), np.int64)
     np.minimum.at(first, labels, np.arange(len(comp)))
-    forest = Forest(first[labels])
-    median = int(np.median([len(s) for s in sets]))
-    bits = 1 << min(14, max(8, (2 * median).bit_length()))
-    left = SignatureTree(np.flatnonzero(side == 0), sets, bits)
-    if (side == 0).all():
-        dual_traversal(left, left, sets, forest, similar)
-    else:
-        dual_traversal(left, SignatureTree(np.flatnonzero(side == 1), sets, bits), sets, forest, similar)
-    root = forest.flatten()
-    links = np.stack([comp, comp[root]], 1)
+    forest, pairs = Forest(first[labels]), []
+    words = min(len(m) for m in maps)
+
+    def linked(i: int, j: int) -> bool:
+        if sets is not None:
+            return similar_sets(sets[i], sets[j], similar)
+        pairs.append((doc[i], doc[j]))
+        return False
+
+    left = SignatureTree(np.flatnonzero(side == 0), maps, sizes, words)
+    right = left if (side == 0).all() else SignatureTree(np.flatnonzero(side == 1), maps, sizes, words)
+    dual_traversal(left, right, forest, similar, linked)
+    if sets is None:
+        return np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
+    links = np.stack([comp, comp[forest.flatten()]], 1)
     return np.unique(links[links[:, 0] != links[:, 1]], axis=0)
 
 
-def _tree_join(similar: tuple[int, int], sides: int):
-    """Rows sorted by (block, a, b) -> links, within groups of one side or between the two sides of a group."""
+def _tree_join(similar: tuple[int, int], with_sets: bool):
+    """Rows sorted by (block, a, b) -> links.  b = -1: a group joined with itself; else its side 0 with its side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
-        def close() -> pa.RecordBatch:
-            doc, side, comp = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            links = join_group(doc, side, comp, [np.frombuffer(r[3], np.uint64) for r in held], similar)
-            return pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+        def close() -> Iterator[pa.RecordBatch]:
+            if now is not None and (now[2] == -1 or len({r[1] for r in held}) == 2):
+                doc, side, comp, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
+                sets = [np.frombuffer(r[5], np.uint64) for r in held] if with_sets else None
+                links = join_group(doc, side, comp, size, [np.frombuffer(r[4], np.uint64) for r in held], sets, similar)
+                yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
+        names = ("block", "a", "b", "doc_key", "side", "comp", "n", "map", *(("shingles",) if with_sets else ()))
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "doc_key", "side", "comp", "shingles")]
-            for block, a, b, *row in zip(*cols, strict=True):
-                if now is not None and (block, a, b) != now and held:
-                    if len({r[1] for r in held}) == sides:
-                        yield close()
-                    held = []
-                now = (block, a, b)
+            for block, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (block, a, b) != now:
+                    yield from close()
+                    held, now = [], (block, a, b)
                 held.append(row)
-        if len({r[1] for r in held}) == sides:
-            yield close()
+        yield from close()
 
     return run
 
@@ -384,51 +420,98 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            out = []
             for lo, hi in slices(offsets):
-                out += [s.tobytes() for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)]
-            yield pa.record_batch([batch.column("doc_key"), batch.column("block"), batch.column("chunks"), pa.array(out, pa.binary())], names=["doc_key", "block", "chunks", "shingles"])
+                found = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+                yield pa.record_batch([batch.column("doc_key").slice(lo, hi - lo), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s, bits_for(len(s))).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_key", "n", "map", "shingles"])
+
+    return run
+
+
+def _pairs(similar: tuple[int, int], with_sets: bool):
+    """Pairs (u, v, and what both hold) that are linked, or that the bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            names = ("u_shingles", "v_shingles") if with_sets else ("u_map", "v_map", "u_n", "v_n")
+            for x, y, *n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if with_sets:
+                    keep.append(similar_sets(x, y, similar))
+                    continue
+                words = min(len(x), len(y))
+                x, y = narrowed(x, words), narrowed(y, words)
+                shared = min(n[0] - int(np.bitwise_count(x).sum()), n[1] - int(np.bitwise_count(y).sum()))
+                keep.append(int(np.bitwise_count(x & y).sum()) + shared >= needed(*n, similar))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _both_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("doc_key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+    return pairs
+
+
+def _tasks(rows: DataFrame, most: int, what: list[str]) -> DataFrame:
+    """Rows (block, doc_key, comp, ...) as groups to join: a block of at most ``most`` documents with itself; of a larger one the documents outside the largest component, in chunks, with the whole block, in chunks."""
+    counts = rows.groupBy("block", "comp").agg(F.count("*").alias("c"))
+    block = counts.groupBy("block").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("c"), F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    block = block.select("block", "largest", F.ceil((F.col("all") - F.col("c")) / most).cast("int").alias("queries"), F.ceil(F.col("all") / most).cast("int").alias("targets"))
+    own = rows.join(block, "block")
+    whole = own.where("targets = 1").select("block", F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), *what)
+    hashed = F.xxhash64("doc_key")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    query = own.where("targets > 1 and comp != largest").select("block", F.pmod(hashed, "queries").cast("int").alias("a"), to("targets").alias("b"), F.lit(0).alias("side"), *what)
+    target = own.where("targets > 1").select("block", to("queries").alias("a"), F.pmod(hashed, "targets").cast("int").alias("b"), F.lit(1).alias("side"), *what)
+    return whole.unionByName(query).unionByName(target)
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similar: tuple[int, int] = (90, 100), chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_key, n_shingles, component (keys; see ``id_key``)."""
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    routed = written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, links binary").repartition(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
+    routed = written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartition(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
     rows = routed.where("kind = 0").select(F.col("u").alias("doc_key"), F.col("v").alias("rep"), F.col("n").alias("n_shingles"))
-    reps = rows.groupBy("doc_key").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    reps = rows.groupBy("doc_key").agg(F.min("rep").alias("rep"))
     rep_of = rows.where("rep != doc_key").groupBy("doc_key").agg(F.min("rep").alias("rep"))
-    candidates = routed.where("kind = 1").select("u", "v").distinct()
-    for end in ("u", "v"):
-        candidates = candidates.join(rep_of.select(F.col("doc_key").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-    block_of = components(candidates).withColumnRenamed("component", "block")
-    sized = block_of.join(reps.select(F.col("doc_key").alias("node"), "n_shingles"), "node")
-    chunks = sized.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / chunk_docs, F.sum("n_shingles") / chunk_shingles)).cast("int").alias("chunks"))
-    members = block_of.join(chunks, "block").select(F.col("node").alias("doc_key"), "block", "chunks")
-    sets = written(texts.join(members, "doc_key").mapInArrow(_sets(words), "doc_key long, block long, chunks int, shingles binary"), "sets")
-    sets = sets.where("length(shingles) > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_key"), "chunks").cast("int"))
-    # each chunk, and with it the block's first document
-    every = F.when(F.col("doc_key") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    alone = sets.select("block", F.explode(every).alias("a"), "doc_key", "shingles").select("block", "a", F.col("a").alias("b"), "doc_key", F.lit(0).alias("side"), F.col("doc_key").alias("comp"), "shingles")
-    links = written(_grouped(alone, n).mapInArrow(_tree_join(similar, 1), "u long, v long"), "chunk-links")
-    large = sets.where("chunks > 1")
+
+    def of_reps(df: DataFrame, *ends: str) -> DataFrame:
+        for end in ends:
+            df = df.join(rep_of.withColumnRenamed("doc_key", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+        return df.distinct()
+
+    candidates = of_reps(routed.where("kind = 1").select("u", "v").distinct(), "u", "v").where("u != v")
+    wanted = candidates.select(F.explode(F.array("u", "v")).alias("doc_key")).distinct()
+    sets = written(texts.join(wanted, "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
+    possible = _both_ends(candidates, sets, "map", "n").mapInArrow(_pairs(similar, False), "u long, v long")
+    block_of = components(possible).toDF("doc_key", "block")
+    blocked = sets.join(block_of, "doc_key")
+    # first each chunk of a block, and with it the block's first document
+    chunks = block_of.join(sets.select("doc_key", "n"), "doc_key").groupBy("block").agg(F.ceil(F.greatest(F.count("*") / chunk_docs, F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("doc_key"), F.col("chunks")).cast("int")
+    every = F.when(F.col("doc_key") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    what = ["doc_key", "comp", "n", "map"]
+    alone = blocked.join(chunks, "block").select("block", F.explode(every).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), "doc_key", F.col("doc_key").alias("comp"), "n", "map", "shingles")
+    tree = "u long, v long"
+    links = written(_grouped(alone, n).mapInArrow(_tree_join(similar, True), tree), "chunk-links")
+    # then what chunks have not connected in large blocks
+    large = chunks.where("chunks > 1").select("block")
     if not large.isEmpty():
-        label = components(links).withColumnRenamed("node", "doc_key").withColumnRenamed("component", "comp")
-        large = large.join(label, "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
-        counts = large.groupBy("block", "comp").agg(F.count("*").alias("c"))
-        largest = counts.groupBy("block").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-        large = large.join(largest, "block")
-        to = F.sequence(F.lit(0), F.col("chunks") - 1)
-        query = large.where("comp != largest").select("block", F.col("chunk").alias("a"), F.explode(to).alias("b"), "doc_key", F.lit(0).alias("side"), "comp", "shingles")
-        target = large.select("block", F.explode(to).alias("a"), F.col("chunk").alias("b"), "doc_key", F.lit(1).alias("side"), "comp", "shingles")
-        across = _grouped(query.unionByName(target), n).mapInArrow(_tree_join(similar, 2), "u long, v long")
-        links = links.unionByName(across)
-    label = components(links).select(F.col("node").alias("rep"), "component")
-    one = reps.join(label, "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
+        rest = blocked.join(large, "block").join(components(links).toDF("doc_key", "comp"), "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
+        links = written(links.unionByName(_grouped(_tasks(rest, chunk_docs, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, True), tree)), "block-links")
+    # then groups of an equal part that still hold several components
+    label = written(components(links).toDF("doc_key", "comp"), "labels")
+    parts = of_reps(routed.where("kind = 2").select(F.col("u").alias("block"), F.col("v").alias("doc_key")), "doc_key")
+    parts = parts.join(label, "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
+    mixed_parts = parts.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("block")
+    across = parts.join(mixed_parts, "block").join(sets.select("doc_key", "n", "map"), "doc_key")
+    pairs = _grouped(_tasks(across, chunk_docs, what), n).mapInArrow(_tree_join(similar, False), tree).distinct()
+    links = links.unionByName(_both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree))
+    one = reps.join(components(links).toDF("rep", "component"), "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_key", "n_shingles").join(one, "doc_key")
 
 
