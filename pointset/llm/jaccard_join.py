@@ -237,7 +237,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del x, sets
     _, links, members = stars(np.unique(np.concatenate(keys + shared)))
     yield _routed(1, links[:, 0], links[:, 1], np.zeros(len(links)))
-    yield _routed(2, members["key"].view(np.int64) if members["key"].flags.c_contiguous else members["key"].astype(np.uint64).view(np.int64), members["doc"], np.zeros(len(members)))
+    name, doc = named_groups(members)
+    yield _routed(2, name.view(np.int64), doc, np.zeros(len(doc)))
+
+
+def named_groups(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of documents under a name that their ids give, so that parts shared by the same documents are one group.
+
+    Two groups that got one name by chance would be joined as one: more pairs to rule out, none lost.
+    """
+    if not len(members):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.ones(len(members), bool)
+    first[1:] = members["key"][1:] != members["key"][:-1]
+    at = np.flatnonzero(first)
+    name = np.add.reduceat(mixed(members["doc"].astype(np.int64).view(np.uint64)), at)
+    _, once = np.unique(name, return_index=True)
+    keep = np.zeros(len(at), bool)
+    keep[once] = True
+    group = np.cumsum(first) - 1
+    return name[group][keep[group]], members["doc"][keep[group]].astype(np.int64)
 
 
 class Forest:
@@ -504,11 +523,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = blocked.join(large, "block").join(components(links).toDF("doc_key", "comp"), "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
         links = written(links.unionByName(_grouped(_tasks(rest, chunk_docs, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, True), tree)), "block-links")
     # then groups of an equal part that still hold several components
-    label = written(components(links).toDF("doc_key", "comp"), "labels")
-    parts = of_reps(routed.where("kind = 2").select(F.col("u").alias("block"), F.col("v").alias("doc_key")), "doc_key")
-    parts = parts.join(label, "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
+    label = written(components(links).toDF("rep", "comp"), "labels")
+    comp_of = reps.join(label, "rep", "left").select(F.col("doc_key").alias("v"), "rep", F.coalesce("comp", "rep").alias("comp"))
+    parts = routed.where("kind = 2").select(F.col("u").alias("block"), "v").join(comp_of, "v").select("block", F.col("rep").alias("doc_key"), "comp")
     mixed_parts = parts.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("block")
-    across = parts.join(mixed_parts, "block").join(sets.select("doc_key", "n", "map"), "doc_key")
+    across = written(parts.join(mixed_parts, "block").distinct(), "mixed-parts").join(sets.select("doc_key", "n", "map"), "doc_key")
     pairs = _grouped(_tasks(across, chunk_docs, what), n).mapInArrow(_tree_join(similar, False), tree).distinct()
     links = links.unionByName(_both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree))
     one = reps.join(components(links).toDF("rep", "component"), "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
@@ -525,6 +544,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Of rows that repeat the id one stays.
     """
     found = link_components(docs, id_col, text_col, words, similar, **more)
-    keep = found.where("component = doc_key").select("doc_key").distinct()
+    keep = written(found.where("component = doc_key").select("doc_key").distinct(), "kept")
     rows = docs.select(id_key(id_col).alias("doc_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(keep, "doc_key").dropDuplicates(["doc_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
