@@ -188,7 +188,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     return lettered.mapInArrow(run, StructType([*kinds, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
-def _slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     a = 0
     while a < len(offsets) - 1:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
@@ -206,6 +206,6 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3, **more) -> DataFrame:
     """``docs`` without the documents that have no letter, or no language with a probability of ``least``.  Columns and texts stay as they are."""
     net = fit(docs.where(fold(id_col) != 0), id_col, text_col, lang_col, **more)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = identify(row, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of a caller's columns may clash with ours
+    found = identify(numbered, net, f"c{docs.columns.index(text_col)}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
