@@ -163,7 +163,7 @@ def stars(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[first], np.unique(links[links[:, 0] != links[:, 1]], axis=0), shared
 
 
-def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 4000, shingles: int = 1 << 20):
+def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 2000, shingles: int = 1 << 19):
     schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def send(found: list[tuple[int, np.ndarray]], routing: Routing) -> pa.RecordBatch:
@@ -203,7 +203,7 @@ def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 4000,
     return run
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes."""
     lo = 0
     while lo < len(offsets) - 1:

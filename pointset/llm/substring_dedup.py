@@ -46,7 +46,7 @@ from pointset.llm.common import Prefix, id_key, mixed, partitions, small_batches
 SUFFIX = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("windows", "<u2"), ("anchor", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("windows", "<i4")])
 #: Bytes of text whose windows are taken at once, and suffixes in a batch of the family.
-CHUNK, BATCH = 1 << 20, 1 << 18
+CHUNK, BATCH = 1 << 19, 1 << 17
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -321,7 +321,7 @@ def _open_runs(size: int, buckets: int):
                 else:
                     hot.append(_window_suffixes(data, a, r["doc"], r["pos"], r["windows"], size))
                     held += 32 * len(hot[-1])
-            if held >= 8 << 20:
+            if held >= 4 << 20:
                 yield send(cold, hot)
                 cold, hot, held = [], [], 0
         if held:
