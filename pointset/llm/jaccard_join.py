@@ -8,7 +8,8 @@ How it runs on Spark
 1. *Routing.*  Sets of a size class are cut into k parts by hash.  A linked pair differs in at most
    H = 2U(q-p)/(q+p) shingles (U: the class's largest size, p/q the similarity), so with k > H parts at least k - H parts
    are equal.  A document sends the fingerprint of each part, and of its parts in the next class if a partner can be
-   there; empty parts only if it has k - H of them.  Equal part fingerprints make candidate links to the smallest id of
+   there; empty parts only if it has k - H of them.  Of parts that a pair shares at least, all but one are spared: in one
+   order of all parts, by size, each document leaves out so many of its smallest.  Equal part fingerprints make candidate links to the smallest id of
    their group: a star, never all pairs.  Within a map batch equal sets and equal parts collapse first.
 2. *Blocks.*  Candidate links whose bitmaps rule the similarity out go; components of the others are blocks.  A
    block's sets are gathered in chunks of bounded size, each with the block's first document.
@@ -124,7 +125,11 @@ class Routing:
             first[1:] = part[1:] != part[:-1]
             first = np.flatnonzero(first)
             salt = np.uint64(c) << np.uint64(40)
-            out.append(mixed(np.add.reduceat(weights, first) + mixed(part[first] + salt)))
+            named = mixed(np.add.reduceat(weights, first) + mixed(part[first] + salt))
+            spare = equal - (k - len(first)) - 1
+            if spare > 0:  # the prefix filter: of what a pair shares at least, all but one may go, the smallest parts first
+                named = named[np.lexsort((named, -np.diff(np.append(first, n))))][: len(named) - spare]
+            out.append(named)
             if k - len(first) >= equal:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), part[first])
                 out.append(mixed(mixed(empty + salt) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -281,7 +286,7 @@ class Forest:
 
 
 def bits_for(n: int) -> int:
-    return 1 << max(6, (max(1, n) - 1).bit_length())
+    return 2 << max(5, (max(1, n) - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -329,10 +334,11 @@ class SignatureTree:
         return out
 
 
-def dual_traversal(one: SignatureTree, two: SignatureTree, forest: Forest, similar: tuple[int, int], linked: Callable[[int, int], bool], at_once: int = 1 << 15) -> None:
+def dual_traversal(one: SignatureTree, two: SignatureTree, forest: Forest, similar: tuple[int, int], linked: Callable[[int, int], bool], at_once: int = 1 << 20) -> None:
     """Calls ``linked`` for pairs of documents of two trees (or of one with itself) that no bound rules out and that are not connected yet; connects them where it says so."""
     p, q = similar
     same = one is two
+    at_once = max(64, min(1 << 13, at_once // one.maps[0].shape[1]))  # pairs of nodes; the limit is in words of their bitmaps
     stack = [(len(one.maps) - 1, len(two.maps) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     labels = forest.flatten()
     comps = (one.components(labels), two.components(labels))
