@@ -20,7 +20,9 @@ How it runs on Spark
 4. Blocks of several chunks that are not one component yet: the documents outside the largest component meet all chunks
    of the block, tree against tree.
 5. Groups of an equal part that still hold several components (a passage that many documents share can make a part): the
-   same dual traversal, on bitmaps only; pairs that it cannot rule out are verified on the sets.
+   same dual traversal, on bitmaps only; pairs that it cannot rule out are verified on the sets.  Like documents share
+   most of their groups: a document carries the group that each of a few orders of all groups puts first among its own,
+   and a pair that has the same group in one of them is named by that group alone.
    So every pair with an equal part is verified, proved too far apart by a bound, or already connected; no link that
    changes a component is lost, whatever the sizes.
 
@@ -51,6 +53,8 @@ WORD_BASE = 0x9FB21C651E98DF25
 FAN = 8
 #: A chunk of a block holds so many shingles and documents at most, on average.
 CHUNK_SHINGLES, CHUNK_DOCS = 1 << 21, 2000
+#: Orders of groups in which a pair looks for one group to be named by.
+ORDERS = 4
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,8 +397,14 @@ def similar_sets(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool
     return common * similar[1] >= similar[0] * (len(x) + len(y) - common)
 
 
-def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, similar: tuple[int, int]) -> np.ndarray:
-    """With sets: rows (u, v) of components of the group's documents that are linked.  Without: pairs of documents that the bitmaps do not rule out."""
+def named_here(one: np.ndarray, two: np.ndarray, block: int) -> np.ndarray:
+    """Whether this block names a pair, from the first blocks of either document: the first that is the same names it, and every block if none is."""
+    same = one == two
+    return ~same.any(1) | (one[np.arange(len(one)), same.argmax(1)] == block)
+
+
+def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, similar: tuple[int, int], firsts: np.ndarray | None = None, block: int = 0) -> np.ndarray:
+    """With sets: rows (u, v) of components of the group's documents that are linked.  Without: pairs of documents that the bitmaps do not rule out and that ``block`` names."""
     _, labels = np.unique(comp, return_inverse=True)
     first = np.full(labels.max() + 1, len(comp), np.int64)
     np.minimum.at(first, labels, np.arange(len(comp)))
@@ -404,14 +414,17 @@ def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.nd
     def linked(i: int, j: int) -> bool:
         if sets is not None:
             return similar_sets(sets[i], sets[j], similar)
-        pairs.append((doc[i], doc[j]))
+        pairs.append((i, j))
         return False
 
     left = SignatureTree(np.flatnonzero(side == 0), maps, sizes, words)
     right = left if (side == 0).all() else SignatureTree(np.flatnonzero(side == 1), maps, sizes, words)
     dual_traversal(left, right, forest, similar, linked)
     if sets is None:
-        return np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        if firsts is not None:
+            found = found[named_here(firsts[found[:, 0]], firsts[found[:, 1]], block)]
+        return np.unique(np.sort(doc[found], axis=1), axis=0)
     links = np.stack([comp, comp[forest.flatten()]], 1)
     return np.unique(links[links[:, 0] != links[:, 1]], axis=0)
 
@@ -426,10 +439,11 @@ def _tree_join(similar: tuple[int, int], with_sets: bool):
             if now is not None and (now[2] == -1 or len({r[1] for r in held}) == 2):
                 doc, side, comp, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
                 sets = [np.frombuffer(r[5], np.uint64) for r in held] if with_sets else None
-                links = join_group(doc, side, comp, size, [np.frombuffer(r[4], np.uint64) for r in held], sets, similar)
+                firsts = None if with_sets else np.array([r[5] for r in held], np.int64)
+                links = join_group(doc, side, comp, size, [np.frombuffer(r[4], np.uint64) for r in held], sets, similar, firsts, now[0])
                 yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
-        names = ("block", "a", "b", "doc_key", "side", "comp", "n", "map", *(("shingles",) if with_sets else ()))
+        names = ("block", "a", "b", "doc_key", "side", "comp", "n", "map", "shingles" if with_sets else "firsts")
         for batch in batches:
             for block, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (block, a, b) != now:
@@ -533,8 +547,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp_of = reps.join(label, "rep", "left").select(F.col("doc_key").alias("v"), "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = routed.where("kind = 2").select(F.col("u").alias("block"), "v").join(comp_of, "v").select("block", F.col("rep").alias("doc_key"), "comp")
     mixed_parts = parts.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("block")
-    across = written(parts.join(mixed_parts, "block").distinct(), "mixed-parts").join(sets.select("doc_key", "n", "map"), "doc_key")
-    pairs = _grouped(_tasks(across, chunk_docs, what), n).mapInArrow(_tree_join(similar, False), tree).distinct()
+    across = written(parts.join(mixed_parts, "block").distinct(), "mixed-parts")
+    firsts = across.groupBy("doc_key").agg(*[F.min_by("block", F.xxhash64("block", F.lit(i))).alias(f"first{i}") for i in range(ORDERS)])
+    across = across.join(sets.select("doc_key", "n", "map"), "doc_key").join(firsts.select("doc_key", F.array(*[f"first{i}" for i in range(ORDERS)]).alias("firsts")), "doc_key")
+    pairs = _grouped(_tasks(across, chunk_docs, [*what, "firsts"]), n).mapInArrow(_tree_join(similar, False), tree).distinct()
     links = links.unionByName(_both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree))
     one = reps.join(components(links).toDF("rep", "component"), "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_key", "n_shingles").join(one, "doc_key")
