@@ -161,8 +161,10 @@ def _unpack(raws: list[bytes], dtype: np.dtype) -> np.ndarray:
 
 
 def stars(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest id of each key; the distinct links (id, smallest id) of the other ids; the rows of keys that come more than once."""
+    """The smallest id of each key; the distinct links (id, smallest id) of the other ids; the rows of keys that come more than once.  Rows that repeat count once."""
     keys = keys[np.lexsort((keys["doc"], keys["key"]))]
+    if len(keys):
+        keys = keys[np.append(True, (keys["key"][1:] != keys["key"][:-1]) | (keys["doc"][1:] != keys["doc"][:-1]))]
     first = np.ones(len(keys), bool)
     first[1:] = keys["key"][1:] != keys["key"][:-1]
     group = np.cumsum(first) - 1
@@ -228,26 +230,40 @@ def _routed(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.Record
     return pa.record_batch([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "u", "v", "n"])
 
 
+#: A bucket's keys meet in so many pieces, one after the other.
+PIECES = 8
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: each document, the smallest id with the same set, and the set's size; kind 1: candidate links; kind 2: parts (u) and the documents that share them (v)."""
-    sets, keys, shared = [], [], []
+    sets, pieces = [], [[] for _ in range(PIECES)]
     for batch in batches:
         sets.append(_unpack(batch.column("sets").to_pylist(), IDENTITY))
-        keys.append(_unpack(batch.column("keys").to_pylist(), KEY))
-        shared.append(_unpack(batch.column("shared").to_pylist(), KEY))
+        for column in ("keys", "shared"):
+            keys = _unpack(batch.column(column).to_pylist(), KEY)
+            order, cuts = split_by((keys["key"] >> np.uint64(52)) % np.uint64(PIECES), PIECES)
+            for k, piece in enumerate(pieces):
+                piece.append(keys[order[cuts[k] : cuts[k + 1]]])
     if not sets:
         return
     x = np.concatenate(sets)
+    del sets
     x = x[np.lexsort((x["doc"], x["b"], x["a"]))]
     first = np.ones(len(x), bool)
     first[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
     first |= x["n"] == 0
     yield _routed(0, x["doc"], x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(x) else x["doc"], x["n"])
-    del x, sets
-    _, links, members = stars(np.unique(np.concatenate(keys + shared)))
+    del x
+    found, known = [], np.zeros(0, np.uint64)
+    while pieces:
+        _, links, members = stars(np.concatenate(pieces.pop()))
+        found.append(links)
+        name, doc = named_groups(members)
+        new = ~np.isin(name, known)
+        known = np.union1d(known, name)
+        yield _routed(2, name[new].view(np.int64), doc[new], np.zeros(int(new.sum())))
+    links = np.unique(np.concatenate(found), axis=0)
     yield _routed(1, links[:, 0], links[:, 1], np.zeros(len(links)))
-    name, doc = named_groups(members)
-    yield _routed(2, name.view(np.int64), doc, np.zeros(len(doc)))
 
 
 def named_groups(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
