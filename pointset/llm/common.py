@@ -28,8 +28,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts are long, and a batch lies whole in a Python worker.  Shuffle files go with the query that wrote them."""
+    """Arrow batches of few rows and bytes: texts are long, and a batch lies whole in a Python worker.  Shuffle files go with the query that wrote them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
