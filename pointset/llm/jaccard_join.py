@@ -529,7 +529,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     n = partitions(spark)
     texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    routed = written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartition(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
+    routed = written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartitionById(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
     rows = routed.where("kind = 0").select(F.col("u").alias("doc_key"), F.col("v").alias("rep"), F.col("n").alias("n_shingles"))
     reps = rows.groupBy("doc_key").agg(F.min("rep").alias("rep"))
     rep_of = rows.where("rep != doc_key").groupBy("doc_key").agg(F.min("rep").alias("rep"))

@@ -46,7 +46,7 @@ from pointset.llm.common import Prefix, id_key, mixed, partitions, small_batches
 SUFFIX = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("windows", "<u2"), ("anchor", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("windows", "<i4")])
 #: Bytes of text whose windows are taken at once, and suffixes in a batch of the family.
-CHUNK, BATCH = 1 << 19, 1 << 17
+CHUNK, BATCH = 1 << 18, 1 << 17
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -89,8 +89,10 @@ def in_suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(len(x), bool)
     first[1:] = (x["k1"][1:] != x["k1"][:-1]) | (x["k2"][1:] != x["k2"][:-1])
     kept = x[first]
-    own = kept[np.cumsum(first) - 1]  # a row that repeats an id has the same place again: no repeat
-    return kept, x[~first & ((x["doc"] != own["doc"]) | (x["pos"] != own["pos"]))]
+    of = (np.cumsum(first, dtype=np.int32) - 1)[~first]
+    later = x[~first]
+    again = (later["doc"] == kept["doc"][of]) & (later["pos"] == kept["pos"][of])  # a row that repeats an id has the same place again: no repeat
+    return kept, later[~again]
 
 
 def _keys(x: np.ndarray) -> np.ndarray:
@@ -369,12 +371,12 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions(spark)
     texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     sent = texts.mapInArrow(_run_batches(min_bytes, n), "bucket int, suffixes binary, done binary")
-    found = written(sent.repartition(n, "bucket").mapInArrow(_index_runs(hot_runs), SPANS), "suffix-runs")
+    found = written(sent.repartitionById(n, "bucket").mapInArrow(_index_runs(hot_runs), SPANS), "suffix-runs")
     opened = found.where("open").groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows", "route", "hot")).alias("runs"))
     windows = (
         texts.join(opened, "doc_key")
         .mapInArrow(_open_runs(min_bytes, n), "bucket int, bytes binary, runs binary, suffixes binary, done binary")
-        .repartition(n, "bucket")
+        .repartitionById(n, "bucket")
         .mapInArrow(_index_windows(min_bytes), SPANS)
     )
     spans = found.where("not open").unionByName(windows).select("doc_key", "pos", "windows")
