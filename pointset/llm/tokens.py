@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,7 +29,7 @@ from pointset.llm.common import id_key, small_batches
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Letters below this are one code point each under NFC, and their lower case is the same everywhere.
 LATIN_END, STOPS = "\u0130", ",.;:!?"
 
@@ -115,9 +116,9 @@ class Chunks(dict):
 _WORKER: dict[str, Chunks] = {}
 
 
-def of_worker(path: str, whole: dict[str, int]) -> Chunks:
+def of_worker(path: str, whole: Broadcast) -> Chunks:
     if path not in _WORKER:
-        _WORKER[path] = Chunks(path, whole)
+        _WORKER[path] = Chunks(path, whole.value)
     return _WORKER[path]
 
 
@@ -128,7 +129,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))  # no more than the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = of_worker(path, whole.value)
+        chunks = of_worker(path, whole)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n = [len(chunks.ids(x)) // 4 for x in texts]
@@ -147,7 +148,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
     kinds += [("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = of_worker(path, whole.value), struct.pack("<I", end_id)
+        chunks, end = of_worker(path, whole), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
