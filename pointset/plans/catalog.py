@@ -267,9 +267,7 @@ def d4(spark, d):
 
 @query("d5_image_range", "SELECT DISTINCT o_orderstatus AS color, p_partkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 4 WHERE o_orderkey % 50 = 0")
 def d5(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 50 = 0")
-    source = D.by_field(orders, ["o_orderkey"], "o_orderstatus")
-    return D.image_range(table(spark, d, "part"), "p_partkey", source, orders, "o_custkey", F.col("o_custkey") + 4, 8).df
+    return D.image_range(table(spark, d, "part"), "p_partkey", _orders_by_status(spark, d), table(spark, d, "orders"), "o_custkey", F.col("o_custkey") + 4, 8).df
 
 
 @query("d6_structured_image", "SELECT DISTINCT o_orderstatus AS color, (o_orderkey * 2 + 1) AS o_orderkey FROM orders WHERE o_orderkey * 2 + 1 IN (SELECT o_orderkey FROM orders)")
@@ -294,7 +292,7 @@ def d9(spark, d):
 @query("d10_preimage_range", "SELECT DISTINCT p_brand AS color, o_orderkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 2 WHERE o_orderkey % 20 = 0")
 def d10(spark, d):
     target = D.by_field(table(spark, d, "part"), ["p_partkey"], "p_brand")
-    return D.preimage_range(target, table(spark, d, "orders").where("o_orderkey % 20 = 0"), ["o_orderkey"], "o_custkey", F.col("o_custkey") + 2, 4).df
+    return D.preimage_range(target, table(spark, d, "orders"), ["o_orderkey"], "o_custkey", F.col("o_custkey") + 2, 4).df
 
 
 @query("d11_structured_preimage", "SELECT c_mktsegment AS color, o_orderkey FROM orders JOIN customer ON (o_orderkey * 3) % 1000 = c_custkey")
