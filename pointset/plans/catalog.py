@@ -592,8 +592,8 @@ def l3u(spark, d):
 SELECT proc, bucket, round(sum(least(stop, lo + (bucket + 1) * width) - greatest(start, lo + bucket * width)) / 50000.0, 6) AS mean FROM records, b, range(20) t(bucket) WHERE start < lo + (bucket + 1) * width AND stop > lo + bucket * width GROUP BY ALL""")
 def l5(spark, d):
     r = _records(spark, d)
-    lo = r.agg(F.min("start")).first()[0]
-    return L.resample(r, ["proc"], lo, lo + 1000000, 20).withColumn("mean", F.round("mean", 6))
+    lo, hi = r.agg(F.min("start"), F.max("stop")).first()
+    return L.resample(r, ["proc"], lo, hi, 20).withColumn("mean", F.round("mean", 6))
 
 
 @query("l6_peak", "WITH " + RECORDS + ", " + STEP_SQL + "SELECT proc, max(level)::BIGINT AS max_levels FROM lev GROUP BY 1")

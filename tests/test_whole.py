@@ -1,5 +1,10 @@
 """Queries whose SQL covers a part of the rows only, or cannot cover all inputs, against brute force on small tables."""
 
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+
 from pointset.plans import catalog
 
 
@@ -23,3 +28,22 @@ def test_ranges_of_all_orders(spark, tmp_path):
     preimage = {(brand, o) for o, at, _ in orders for p, brand in part if at <= p <= at + 2}
     assert found(spark, tmp_path, "d5_image_range", ["color", "p_partkey"]) == image
     assert found(spark, tmp_path, "d10_preimage_range", ["color", "o_orderkey"]) == preimage
+
+
+@pytest.mark.parametrize("apart", [3, 40_000])
+def test_resample_covers_the_log(spark, tmp_path, apart):
+    """The twenty buckets hold the whole of a short and of a long log."""
+    began = datetime(2024, 3, 1)
+    events = [(k, began + timedelta(seconds=k * apart), k * 5 % 11, "view") for k in range(100)]
+    written(spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string"), tmp_path, "events")
+    spans = [(user % 8, k * apart, k * apart + 1 + k * 7919 % 5000) for k, _, user, _ in events]
+    width = -(-max(stop for *_, stop in spans) // 20)
+    open_for = Counter()
+    for proc, start, stop in spans:
+        for bucket in range(20):
+            open_for[proc, bucket] += max(0, min(stop, (bucket + 1) * width) - max(start, bucket * width))
+    mean = {(proc, bucket): round(t / width, 6) for (proc, bucket), t in open_for.items() if t}
+    rows = catalog.queries()["l5_resample"](spark, str(tmp_path)).collect()
+    assert {(r["proc"], r["bucket"]): pytest.approx(r["mean"], abs=2e-6) for r in rows} == mean
+    assert len(rows) == len(mean)
+    assert sum(open_for.values()) == sum(stop - start for _, start, stop in spans)
