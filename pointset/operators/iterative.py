@@ -24,16 +24,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, alpha: float = 0.8
     return iterate(start, step, rounds).select("id", "score")
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """Bellman-Ford from several sources: least distance with at most ``rounds`` edges (null: not reached)."""
-    start = nodes.select("id").join(sources.select("id", F.lit(0).cast("long").alias("distance")), "id", "left")
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Bellman-Ford from several sources, until a round changes no distance (null: not reached).
 
-    def step(s: DataFrame) -> DataFrame:
-        near = s.where("distance is not null").select(F.col("id").alias("src"), "distance")
-        got = edges.join(near, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("cost")).alias("__d"))
-        return s.join(got, "id", "left").select("id", F.least("distance", "__d").alias("distance"))
+    Costs are not negative on any cycle, or there is no least distance.  Each round is a checkpoint.
+    """
+    state = nodes.select("id").join(sources.select("id", F.lit(0).cast("long").alias("distance")), "id", "left").withColumn("__new", F.col("distance").isNotNull()).checkpoint()
 
-    return iterate(start, step, rounds)
+    while not state.where("__new").isEmpty():
+        near = state.where("__new").select(F.col("id").alias("src"), "distance")
+        got = edges.join(near, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("cost")).alias("__d"))
+        less = F.col("__d").isNotNull() & (F.col("distance").isNull() | (F.col("__d") < F.col("distance")))
+        state = state.join(got, "id", "left").select("id", F.least("distance", "__d").alias("distance"), less.alias("__new")).checkpoint()
+    return state.select("id", "distance")
 
 
 def star_stencil(grid: DataFrame, rounds: int, radius: int = 1) -> DataFrame:

@@ -689,7 +689,7 @@ def g1(spark, d):
 def g2(spark, d):
     _checkpoints(spark)
     nodes, edges = _trade(spark, d)
-    return G.shortest_paths(nodes, edges.withColumn("cost", (F.col("src") + F.col("dst")) % 7 + 1), nodes.where("id in (0, 3)"), 3)
+    return G.shortest_paths(nodes, edges.withColumn("cost", (F.col("src") + F.col("dst")) % 7 + 1), nodes.where("id in (0, 3)"))
 
 
 @query("g3_circuit")

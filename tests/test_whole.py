@@ -1,6 +1,7 @@
 """Queries whose SQL covers a part of the rows only, or cannot cover all inputs, against brute force on small tables."""
 
-from collections import Counter
+import heapq
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
@@ -47,3 +48,21 @@ def test_resample_covers_the_log(spark, tmp_path, apart):
     assert {(r["proc"], r["bucket"]): pytest.approx(r["mean"], abs=2e-6) for r in rows} == mean
     assert len(rows) == len(mean)
     assert sum(open_for.values()) == sum(stop - start for _, start, stop in spans)
+
+
+def test_shortest_paths_over_many_edges(spark, tmp_path):
+    """A path of 21 nodes from supplier 3, and a part of the graph that no source reaches."""
+    pairs = [(3 + k, k) for k in range(10)] + [(4 + k, k) for k in range(10)] + [(900, 901), (902, 901)]
+    written(spark.createDataFrame(pairs, "l_suppkey long, l_partkey long"), tmp_path, "lineitem")
+    near = defaultdict(set)
+    for s, p in pairs:
+        near[s].add(p + 1000000)
+        near[p + 1000000].add(s)
+    least, heap = {}, [(0, 3)]
+    while heap:
+        far, at = heapq.heappop(heap)
+        if at not in least:
+            least[at] = far
+            for to in near[at]:
+                heapq.heappush(heap, (far + (at + to) % 7 + 1, to))
+    assert found(spark, tmp_path, "g2_shortest_paths", ["id", "distance"]) == {(n, least.get(n)) for n in near}
