@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators, so that ids fit a 64-bit integer array.
@@ -35,21 +35,67 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one only on a local master where none is set, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointset-"))
         found = sc.getCheckpointDir()
     return found
 
 
+class Scratch:
+    """Tables of one operator in the shared folder; those that are written in its ``with`` block go at its end.
+
+    A table ends the lineage, and lost executors lose nothing.  What an operator returns is written outside of the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str, *observed: Column) -> DataFrame | tuple[DataFrame, dict]:
+        """``df`` as a Parquet table; with ``observed`` aggregates also their values over its rows."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        seen = Observation() if observed else None
+        (df.observe(seen, *observed) if observed else df).write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        return (table, seen.get) if observed else table
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder that stays."""
+    return Scratch(df.sparkSession).written(df, name)
+
+
+def own_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_key, text, row): rows of one id with unlike texts, and rows without id, get keys of their own above all others; equal rows share one.
+
+    What is kept or cut is then decided for each text.  Where ids are unique, which one aggregation finds out, they are the keys.
+    """
+    digest = F.xxhash64(F.col("text"))
+    rows = docs.select(id_key(id_col).alias("doc_key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ids = rows.select("doc_key", digest.alias("digest")).groupBy("doc_key").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    odd = (F.col("least") != F.col("most")) | (F.col("doc_key") == NO_ID)
+    top, some = ids.agg(F.max("doc_key"), F.coalesce(F.bool_or(odd), F.lit(False))).first()
+    if not some:
+        return rows
+    if top > 1 << 61:
+        raise ValueError("ids that repeat need free numbers above the largest id")
+    pairs = rows.select("doc_key", digest.alias("digest")).join(ids.where(odd).select("doc_key"), "doc_key", "left_semi").distinct()
+    named = written(pairs.withColumn("own", F.monotonically_increasing_id() + max(top, 0) + 1), "own-keys")
+    return rows.withColumn("digest", digest).join(named, ["doc_key", "digest"], "left").select(F.coalesce("own", "doc_key").alias("doc_key"), "text", "row")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import written
+from pointset.llm.common import Scratch
 
 
-def _is_forest_of_stars(e: DataFrame) -> bool:
-    """Every node has one link, to a node that has none."""
-    twice = e.groupBy("u").count().where("count > 1").select("u")
-    deep = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-    return twice.unionAll(deep).isEmpty()
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v), longs -> rows (node, component): for every node that has a link, the smallest node that it reaches.
 
     Each round hangs a node's larger neighbours, then its smaller ones, on its smallest neighbour, and is written to the
-    shared folder.  Rounds are few (logarithmic in a component's size), a round is two aggregations and two joins, and a
-    node with very many links is never gathered in one task: only minima are.
+    shared folder; stars, once they are all, stay as they are, and the round that changes nothing is the last.  Rounds are
+    few (logarithmic in a component's size), and a node with very many links is never gathered in one task: only minima are.
     Null ends and links of a node to itself are left out; an empty table gives an empty one.
     """
-    e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
-    while not _is_forest_of_stars(e):
+    digest = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("digest"))
+    e, now = scratch.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links", *digest)
+    before = None
+    while now != before and now["n"]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        before = now
+        e, now = scratch.written(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links", *digest)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").toDF("node", "component").distinct())

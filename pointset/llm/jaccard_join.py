@@ -29,8 +29,9 @@ How it runs on Spark
 Shingles are compared by 64-bit fingerprints, equal sets by 128-bit fingerprints.
 
 Defined cases: null and empty texts and texts without words have no shingles, link with nothing and are their own
-component; fewer words than a shingle has make one shingle of the whole sequence; equal texts link (similarity 1); rows
-that repeat an id are one document in the links and keep a row each; null ids are one id below all others.
+component; fewer words than a shingle has make one shingle of the whole sequence; equal texts link (similarity 1).  In
+``link_components`` rows that repeat an id are one document in the links and keep a row each, and null ids are one id below
+all others; ``keep_one`` tells them apart.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import Prefix, id_key, mixed, partitions, small_batches, split_by, text_bytes, written
+from pointset.llm.common import Prefix, Scratch, id_key, mixed, own_keys, partitions, small_batches, split_by, text_bytes
 from pointset.llm.components import components
 
 SPLIT = np.zeros(256, bool)
@@ -509,11 +510,11 @@ def _both_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _tasks(rows: DataFrame, most: int, what: list[str]) -> DataFrame:
-    """Rows (block, doc_key, comp, ...) as groups to join: a block of at most ``most`` documents with itself; of a larger one the documents outside the largest component, in chunks, with the whole block, in chunks."""
-    counts = rows.groupBy("block", "comp").agg(F.count("*").alias("c"))
+def _tasks(rows: DataFrame, most: int, shingles: int, what: list[str]) -> DataFrame:
+    """Rows (block, doc_key, comp, n, ...) as groups to join: a block of at most ``most`` documents and ``shingles`` shingles with itself; of a larger one the documents outside the largest component, in chunks, with the whole block, in chunks."""
+    counts = rows.groupBy("block", "comp").agg(F.greatest(F.count("*") / most, F.sum("n") / shingles).alias("c"))
     block = counts.groupBy("block").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("c"), F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    block = block.select("block", "largest", F.ceil((F.col("all") - F.col("c")) / most).cast("int").alias("queries"), F.ceil(F.col("all") / most).cast("int").alias("targets"))
+    block = block.select("block", "largest", F.greatest(F.ceil(F.col("all") - F.col("c")), F.lit(1)).cast("int").alias("queries"), F.ceil("all").cast("int").alias("targets"))
     own = rows.join(block, "block")
     whole = own.where("targets = 1").select("block", F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), *what)
     hashed = F.xxhash64("doc_key")
@@ -527,9 +528,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: doc_key, n_shingles, component (keys; see ``id_key``)."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
     texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    routed = written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartitionById(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
+    with Scratch(spark) as scratch:
+        return Scratch(spark).written(_linked(texts, words, similar, chunk_docs, chunk_shingles, scratch), "components")
+
+
+def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs: int, chunk_shingles: int, scratch: Scratch) -> DataFrame:
+    n = partitions(scratch.spark)
+    routed = scratch.written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartitionById(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
     rows = routed.where("kind = 0").select(F.col("u").alias("doc_key"), F.col("v").alias("rep"), F.col("n").alias("n_shingles"))
     reps = rows.groupBy("doc_key").agg(F.min("rep").alias("rep"))
     rep_of = rows.where("rep != doc_key").groupBy("doc_key").agg(F.min("rep").alias("rep"))
@@ -539,36 +545,38 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             df = df.join(rep_of.withColumnRenamed("doc_key", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
         return df.distinct()
 
-    candidates = of_reps(routed.where("kind = 1").select("u", "v").distinct(), "u", "v").where("u != v")
+    candidates = scratch.written(of_reps(routed.where("kind = 1").select("u", "v").distinct(), "u", "v").where("u != v"), "candidates")
     wanted = candidates.select(F.explode(F.array("u", "v")).alias("doc_key")).distinct()
-    sets = written(texts.join(wanted, "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
+    sets = scratch.written(texts.join(wanted, "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
     possible = _both_ends(candidates, sets, "map", "n").mapInArrow(_pairs(similar, False), "u long, v long")
-    block_of = components(possible).toDF("doc_key", "block")
+    block_of = components(possible, scratch).toDF("doc_key", "block")
     blocked = sets.join(block_of, "doc_key")
     # first each chunk of a block, and with it the block's first document
-    chunks = block_of.join(sets.select("doc_key", "n"), "doc_key").groupBy("block").agg(F.ceil(F.greatest(F.count("*") / chunk_docs, F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
+    chunks = scratch.written(block_of.join(sets.select("doc_key", "n"), "doc_key").groupBy("block").agg(F.ceil(F.greatest(F.count("*") / chunk_docs, F.sum("n") / chunk_shingles)).cast("int").alias("chunks")), "chunks")
     chunk = F.pmod(F.xxhash64("doc_key"), F.col("chunks")).cast("int")
     every = F.when(F.col("doc_key") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
     what = ["doc_key", "comp", "n", "map"]
     alone = blocked.join(chunks, "block").select("block", F.explode(every).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), "doc_key", F.col("doc_key").alias("comp"), "n", "map", "shingles")
     tree = "u long, v long"
-    links = written(_grouped(alone, n).mapInArrow(_tree_join(similar, True), tree), "chunk-links")
+    links = scratch.written(_grouped(alone, n).mapInArrow(_tree_join(similar, True), tree), "chunk-links")
     # then what chunks have not connected in large blocks
     large = chunks.where("chunks > 1").select("block")
     if not large.isEmpty():
-        rest = blocked.join(large, "block").join(components(links).toDF("doc_key", "comp"), "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
-        links = written(links.unionByName(_grouped(_tasks(rest, chunk_docs, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, True), tree)), "block-links")
+        rest = blocked.join(large, "block").join(components(links, scratch).toDF("doc_key", "comp"), "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
+        links = scratch.written(links.unionByName(_grouped(_tasks(rest, chunk_docs, chunk_shingles, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, True), tree)), "block-links")
     # then groups of an equal part that still hold several components
-    label = written(components(links).toDF("rep", "comp"), "labels")
+    label = components(links, scratch).toDF("rep", "comp")
     comp_of = reps.join(label, "rep", "left").select(F.col("doc_key").alias("v"), "rep", F.coalesce("comp", "rep").alias("comp"))
-    parts = routed.where("kind = 2").select(F.col("u").alias("block"), "v").join(comp_of, "v").select("block", F.col("rep").alias("doc_key"), "comp")
+    parts = scratch.written(routed.where("kind = 2").select(F.col("u").alias("block"), "v").join(comp_of, "v").select("block", F.col("rep").alias("doc_key"), "comp"), "parts")
     mixed_parts = parts.groupBy("block").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("block")
-    across = written(parts.join(mixed_parts, "block").distinct(), "mixed-parts")
+    across = scratch.written(parts.join(mixed_parts, "block").distinct(), "mixed-parts")
     firsts = across.groupBy("doc_key").agg(*[F.min_by("block", F.xxhash64("block", F.lit(i))).alias(f"first{i}") for i in range(ORDERS)])
     across = across.join(sets.select("doc_key", "n", "map"), "doc_key").join(firsts.select("doc_key", F.array(*[f"first{i}" for i in range(ORDERS)]).alias("firsts")), "doc_key")
-    pairs = _grouped(_tasks(across, chunk_docs, [*what, "firsts"]), n).mapInArrow(_tree_join(similar, False), tree).distinct()
-    links = links.unionByName(_both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree))
-    one = reps.join(components(links).toDF("rep", "component"), "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
+    pairs = scratch.written(_grouped(_tasks(across, chunk_docs, 4 * chunk_shingles, [*what, "firsts"]), n).mapInArrow(_tree_join(similar, False), tree).distinct(), "pairs")
+    found = _both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree)
+    # what is found across joins the components that are known
+    one = components(label.toDF("u", "v").unionByName(found), scratch).toDF("rep", "component")
+    one = reps.join(one, "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_key", "n_shingles").join(one, "doc_key")
 
 
@@ -579,9 +587,10 @@ def _grouped(rows: DataFrame, n: int) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: tuple[int, int] = (80, 100), **more) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest id stays, all of its columns with it.
 
-    Of rows that repeat the id one stays.
+    Rows of one id with unlike texts, and rows without id, are documents of their own that come after all others (see
+    ``own_keys``); of rows that repeat both id and text one stays.
     """
-    found = link_components(docs, id_col, text_col, words, similar, **more)
-    keep = written(found.where("component = doc_key").select("doc_key").distinct(), "kept")
-    rows = docs.select(id_key(id_col).alias("doc_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = own_keys(docs, id_col, text_col)
+    found = link_components(rows, "doc_key", "text", words, similar, **more)
+    keep = found.where("component = doc_key").select("doc_key").distinct()
     return rows.join(keep, "doc_key").dropDuplicates(["doc_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
