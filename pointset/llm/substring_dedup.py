@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with a logarithmic family of suffix indexes.
+"""Exact removal of repeated byte strings with a logarithmic family of suffix arrays.
 
 What counts: a byte is removed when it lies in a string of ``min_bytes`` bytes that also starts earlier
 (at a smaller id, or in the same document at an earlier place).  Matches never cross documents, overlaps
@@ -6,131 +6,211 @@ count, and everything is judged on the input.
 
 How it runs on Spark
 --------------------
-1. *Suffix sampling.*  Of the ``min_bytes - gram + 1`` grams in every window of ``min_bytes`` bytes the one
-   with the smallest hash is its anchor.  Equal windows have equal anchors at equal offsets, so it is enough to
-   index one suffix for each run of windows with a common anchor (about one in thirty bytes).  A run is
-   known by the fingerprint of its anchor and of all the bytes that its windows cover.
-2. *Logarithmic family.*  Runs go to buckets by anchor.  In a bucket each arriving batch is put in suffix
-   order (``LevelFamily.add``), is merge-scanned against the levels that exist, and becomes a new level;
-   levels of like size merge, so a suffix is moved a logarithmic number of times.  The later of two equal runs
-   is a repeat as a whole.  Equal runs of one map batch collapse before the shuffle, which keeps a string
-   that a third of all documents share from filling one task.
-3. *Windows.*  An anchor seen in several different runs may still repeat in part.  Only those runs return to
-   the text; the same family then indexes each of their windows.  Anchors with more than ``hot_runs``
-   different runs are dealt out by window instead of by anchor.
+1. *Dealing.*  Of the ``min_bytes - gram + 1`` grams in every window of ``min_bytes`` bytes the one with the smallest
+   hash is its anchor.  Equal windows have equal anchors at equal offsets, so only windows of one anchor need to meet.
+   Neighbouring windows of one anchor are a run (about one in thirty bytes), known by a fingerprint of its bytes.  A run
+   whose anchor stands nowhere else has no repeat, and of runs that are equal as a whole the later ones repeat the
+   earliest: both are settled before any text moves.
+2. *Suffix arrays.*  The other runs come back with their bytes.  In a bucket of anchors each arriving batch gets the suffix
+   array of its windows, sorted by their bytes (``SuffixArray.of``).  Levels of like size merge (``merge_scan``): one scan
+   along both arrays in byte order finds the suffixes that agree in ``min_bytes`` bytes or more, keeps the earliest place
+   of each and hands out the later ones as repeats.  A suffix is moved a logarithmic number of times, a level is its text
+   and one number for each suffix, and strings are drawn up for one stretch of the scan at a time.
+3. *Hot anchors.*  A first pass counts the runs of frequent anchors over all documents.  An anchor that has more than
+   ``hot_runs`` runs and more than one in ``HOT_SHARE`` of all is dealt by run, and in step 2 by single windows, so a
+   passage that a third of all documents share does not fill one task.  No more than ``HOT_SHARE`` anchors can be hot.
 4. Spans of repeats meet their text by id.
 
-Order within a level is that of 128-bit fingerprints: for the equality of strings of a fixed length every total
-order serves.  The text is shuffled once, by id; the steps before send 26 bytes for each run.
-
 Defined cases: a null or empty text has no windows and keeps nothing; a text shorter than ``min_bytes`` is
-kept whole; null ids count as one id below all others; rows that repeat an id count as one document whose
-places coincide (the same text twice under one id is no repeat, and what is removed in one is removed in both).
-Other columns pass through ``dedup`` untouched, whatever their names.
+kept whole.  In ``removal_digest`` null ids count as one id below all others, and rows that repeat an id count as one
+document whose places coincide (the same text twice under one id is no repeat, and what is removed in one is removed in
+both).  In ``dedup`` rows of one id with unlike texts, and rows without id, are documents of their own that come after all
+others.  Other columns pass through ``dedup`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import Prefix, id_key, mixed, partitions, small_batches, split_by, text_bytes, written
+from pointset.llm.common import Prefix, Scratch, id_key, mixed, own_keys, partitions, small_batches, split_by, text_bytes, written
 
-#: One indexed suffix: two fingerprints, its place, and for runs the number of windows and the anchor's offset.
-SUFFIX = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("windows", "<u2"), ("anchor", "<u2")])
+#: One run: the hashes of its anchor and of all its bytes, its place, its number of windows.
+RUN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("windows", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("windows", "<i4")])
-#: Bytes of text whose windows are taken at once, and suffixes in a batch of the family.
-CHUNK, BATCH = 1 << 18, 1 << 17
+#: Bytes of text whose windows are taken at once, runs of a map batch, suffixes of a batch of the family.
+CHUNK, BATCH, SUFFIXES = 1 << 18, 1 << 17, 1 << 16
+#: Suffixes of either side in one stretch of a merge scan.
+STRETCH = 1 << 15
+#: A hot anchor has more than one in so many of all runs.
+HOT_SHARE = 1 << 14
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-class LevelFamily:
-    """Sorted suffix levels; keeps of equal suffixes the earliest and hands out the others."""
-
-    def __init__(self, batch: int = BATCH):
-        self.batch, self.waiting, self.size = batch, [], 0
-        self.levels: list[np.ndarray] = []
-
-    def add(self, found: np.ndarray) -> list[np.ndarray]:
-        self.waiting.append(found)
-        self.size += len(found)
-        return self._index() if self.size >= self.batch else []
+def strings(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each place on, as strings that compare byte by byte; a last byte keeps zeros at the end."""
+    rows = np.ones((len(at), size + 1), np.uint8)
+    if len(at):
+        rows[:, :size] = np.lib.stride_tricks.sliding_window_view(text, size)[at]
+    return rows.view(f"S{size + 1}").ravel()
+
+
+@dataclass
+class SuffixArray:
+    """``at``: places in ``text`` in the order of the ``size`` bytes that start there, no two equal; runs: where each begins in the text, and its document and place."""
+
+    text: np.ndarray
+    at: np.ndarray
+    begin: np.ndarray
+    doc: np.ndarray
+    pos: np.ndarray
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = np.searchsorted(self.begin, at, side="right") - 1
+        return self.doc[run], self.pos[run] + (at - self.begin[run])
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    @staticmethod
+    def of(text: np.ndarray, runs: np.ndarray, size: int) -> tuple[SuffixArray, np.ndarray]:
+        """The suffix array of all windows of the runs that make up ``text``; and the spans that repeat within it."""
+        windows = runs["windows"].astype(np.int64)
+        length = windows + size - 1
+        begin = np.cumsum(length) - length
+        at = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        own = SuffixArray(text, at, begin, runs["doc"].astype(np.int64), runs["pos"].astype(np.int64))
+        s = strings(text, at, size)
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        doc, pos = own.places(at[order])
+        first, later = earliest(np.cumsum(new) - 1, doc, pos)
+        own.at = at[order[first]]
+        return own, spans_of(doc[later], pos[later])
+
+
+def earliest(group: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group the row with the earliest place, in order of groups; and the rows with a later place than that."""
+    order = np.lexsort((pos, doc, group))
+    new = np.ones(len(order), bool)
+    new[1:] = group[order][1:] != group[order][:-1]
+    first, later = order[new], order[~new]
+    kept = first[(np.cumsum(new) - 1)[~new]] if len(order) else first
+    return first, later[(doc[later] != doc[kept]) | (pos[later] != pos[kept])]  # a row that repeats an id has the same place again
+
+
+def spans_of(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), SPAN)
+    out["doc"], out["pos"], out["windows"] = doc, pos, 1
+    return joined(out)
+
+
+def merge_scan(one: SuffixArray, two: SuffixArray, size: int, stretch: int = STRETCH) -> tuple[SuffixArray, np.ndarray]:
+    """Two levels as one, and the spans that repeat across them: a scan along both in byte order."""
+    base = len(one.text)
+    out = SuffixArray(np.concatenate([one.text, two.text]), one.at, np.concatenate([one.begin, two.begin + base]), np.concatenate([one.doc, two.doc]), np.concatenate([one.pos, two.pos]))
+    text, sides = out.text, (one.at, two.at + base)
+    marks = np.sort(np.concatenate([strings(text, side[stretch::stretch], size) for side in sides]))
+    cuts = [[0, *(bisect.bisect_left(side, m[:size], key=lambda a: text[a : a + size].tobytes()) for m in marks.tolist()), len(side)] for side in sides]
+    at, repeated = [], []
+    for k in range(len(marks) + 1):
+        here = np.concatenate([side[c[k] : c[k + 1]] for side, c in zip(sides, cuts, strict=True)])
+        s = strings(text, here, size)
+        order = np.argsort(s, kind="stable")  # two ordered runs: merged, not sorted anew
+        here, s = here[order], s[order]
+        common = np.flatnonzero(s[1:] == s[:-1])  # the longest common prefix of neighbours reaches ``size``
+        if len(common):
+            (doc, pos), (doc2, pos2) = out.places(here[common]), out.places(here[common + 1])
+            swap = (doc2 < doc) | ((doc2 == doc) & (pos2 < pos))
+            late = (doc != doc2) | (pos != pos2)
+            repeated.append(spans_of(np.where(swap, doc, doc2)[late], np.where(swap, pos, pos2)[late]))
+            here = np.delete(here, np.where(swap, common, common + 1))
+        at.append(here)
+    out.at = np.concatenate(at)
+    return out, np.concatenate([np.zeros(0, SPAN), *repeated])
+
+
+class SuffixFamily:
+    """Suffix arrays whose sizes grow geometrically; hands out what repeats something earlier."""
+
+    def __init__(self, size: int, batch: int = SUFFIXES):
+        self.size, self.batch, self.texts, self.runs, self.held = size, batch, [], [], 0
+        self.levels: list[SuffixArray] = []
+
+    def add(self, text: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
+        """Spans that are found to repeat by the arrival of these runs."""
+        out, length = [], runs["windows"].astype(np.int64) + self.size - 1
+        ends, windows = np.cumsum(length), np.cumsum(runs["windows"], dtype=np.int64)
+        cut = np.flatnonzero(np.diff(windows // self.batch, prepend=0, append=-1))
+        for a, b in zip([0, *cut[:-1]], cut, strict=True):
+            if a == b:
+                continue
+            self.texts.append(text[ends[a] - length[a] : ends[b - 1]])
+            self.runs.append(runs[a:b])
+            self.held += int(runs["windows"][a:b].sum())
+            if self.held >= self.batch:
+                out += self._index()
+        return out
 
     def _index(self) -> list[np.ndarray]:
-        fresh, later = in_suffix_order(np.concatenate(self.waiting)) if self.waiting else (np.zeros(0, SUFFIX), np.zeros(0, SUFFIX))
-        self.waiting, self.size = [], 0
-        out = [later]
-        for level in self.levels:
-            fresh, beaten = merge_scan(level, fresh)
-            out.append(beaten)
-        if len(fresh):
-            self.levels.append(fresh)
+        fresh, repeated = SuffixArray.of(np.concatenate(self.texts), np.concatenate(self.runs), self.size)
+        self.texts, self.runs, self.held = [], [], 0
+        self.levels.append(fresh)
+        out = [repeated]
         while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
-            top = self.levels.pop()
-            self.levels[-1], _ = in_suffix_order(np.concatenate([self.levels[-1], top]))
-        return [x for x in out if len(x)]
-
-    def close(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All suffixes kept, in order, and the repeats not handed out yet."""
-        out = self._index()
-        kept = self.levels[0] if len(self.levels) == 1 else in_suffix_order(np.concatenate([*self.levels, np.zeros(0, SUFFIX)]))[0]
-        return kept, out
-
-
-def in_suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted, the earliest of each suffix; and the others."""
-    x = x[np.lexsort((x["pos"], x["doc"], x["k2"], x["k1"]))]
-    first = np.ones(len(x), bool)
-    first[1:] = (x["k1"][1:] != x["k1"][:-1]) | (x["k2"][1:] != x["k2"][:-1])
-    kept = x[first]
-    of = (np.cumsum(first, dtype=np.int32) - 1)[~first]
-    later = x[~first]
-    again = (later["doc"] == kept["doc"][of]) & (later["pos"] == kept["pos"][of])  # a row that repeats an id has the same place again: no repeat
-    return kept, later[~again]
-
-
-def _keys(x: np.ndarray) -> np.ndarray:
-    both = np.empty((len(x), 2), ">u8")
-    both[:, 0], both[:, 1] = x["k1"], x["k2"]
-    return both.view("S16").ravel()
-
-
-def merge_scan(level: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matches of a batch in a level: the earlier place stays in the level, the later is returned as a repeat."""
-    if not len(fresh) or not len(level):
-        return fresh, fresh[:0]
-    have, new = _keys(level), _keys(fresh)
-    at = np.minimum(np.searchsorted(have, new), len(have) - 1)
-    hit = have[at] == new
-    mine, theirs = fresh[hit], level[at[hit]]
-    swap = (mine["doc"] < theirs["doc"]) | ((mine["doc"] == theirs["doc"]) & (mine["pos"] < theirs["pos"]))
-    same = (mine["doc"] == theirs["doc"]) & (mine["pos"] == theirs["pos"])
-    level[at[hit][swap]] = mine[swap]
-    return fresh[~hit], np.concatenate([theirs[swap], mine[~swap & ~same]])
+            out.append(self._merge())
+        return out
+
+    def _merge(self) -> np.ndarray:
+        two, one = self.levels.pop(), self.levels.pop()
+        level, repeated = merge_scan(one, two, self.size)
+        self.levels.append(level)
+        return repeated
+
+    def close(self) -> Iterator[np.ndarray]:
+        if self.held:
+            yield from self._index()
+        while len(self.levels) > 1:
+            yield self._merge()
+
+
+def earliest_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of equal runs, by anchor; and the others, but for rows that repeat an id (the same place again)."""
+    x = x[np.lexsort((x["k2"], x["k1"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["k1"][1:] != x["k1"][:-1]) | (x["k2"][1:] != x["k2"][:-1])
+    first, later = earliest(np.cumsum(new) - 1, x["doc"], x["pos"])
+    return x[first], x[later]
 
 
 def repeats(x: np.ndarray) -> np.ndarray:
-    """Spans of suffixes that lost to an earlier one."""
+    """The spans of runs."""
     out = np.empty(len(x), SPAN)
-    out["doc"], out["pos"], out["windows"] = x["doc"], x["pos"], np.maximum(x["windows"], 1)
+    for f in SPAN.names:
+        out[f] = x[f]
     return out
 
 
 def sampled_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, base: np.ndarray, size: int) -> np.ndarray:
-    """The suffix of every run of windows that start in [begin, end) of each segment of ``data``.
+    """Every run of windows that start in [begin, end) of each segment of ``data``.
 
     doc and base: the document of each segment and the place of the segment's first byte in it.
     """
     gram = 1 << max(0, (size // 3).bit_length() - 1)
     width = size - gram + 1
     if len(data) < size or not len(begin):
-        return np.zeros(0, SUFFIX)
+        return np.zeros(0, RUN)
     h = mixed(np.arange(256, dtype=np.uint64) + np.uint64(BASES[0] >> 1))[data]
     k = 1
     while k < gram:
@@ -157,9 +237,9 @@ def sampled_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.n
     last = np.append(first[1:], len(start)) - 1
     lo, hi, anchor = start[first], start[last], anchor[first]
     seg = np.searchsorted(begin, lo, side="right") - 1
-    out = np.empty(len(lo), SUFFIX)
-    out["windows"], out["anchor"] = hi - lo + 1, anchor - lo
-    shape = out["windows"].astype(np.uint64) * np.uint64(1 << 20) + out["anchor"].astype(np.uint64)
+    out = np.empty(len(lo), RUN)
+    out["windows"] = hi - lo + 1
+    shape = out["windows"].astype(np.uint64) * np.uint64(1 << 20) + (anchor - lo).astype(np.uint64)
     out["k1"], out["k2"] = h[anchor], mixed(Prefix(data, BASES[1]).of(lo, hi + size) + shape)
     out["doc"], out["pos"] = doc[seg], lo - begin[seg] + base[seg]
     return out
@@ -189,29 +269,55 @@ def chunks(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int, c
         yield np.concatenate(parts), np.array(begin), np.array(end), np.array(doc, np.int64), np.array(base)
 
 
-def _run_batches(size: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("suffixes", pa.binary()), ("done", pa.binary())])
+def _batches_of_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    waiting, held = [], 0
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for part in chunks(batch.column("doc_key").to_numpy(), data, offsets, size):
+            waiting.append(sampled_runs(*part, size))
+            held += len(waiting[-1])
+            if held >= BATCH:
+                yield np.concatenate(waiting)
+                waiting, held = [], 0
+    if held:
+        yield np.concatenate(waiting)
 
-    def send(waiting: list[np.ndarray]) -> pa.RecordBatch:
-        kept, later = in_suffix_order(np.concatenate(waiting))
-        done = repeats(later)
-        order, cuts = split_by((kept["k1"] >> np.uint64(24)) % np.uint64(buckets), buckets)
-        kept = kept[order]
-        shares = np.array_split(done, buckets)
-        return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([columns_of(kept[cuts[b] : cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([columns_of(x) for x in shares], pa.binary())], schema=schema)
+
+def _count_anchors(size: int, share: int):
+    """Rows (anchor, runs): anchors with more than one in ``share`` of a batch's runs, and under no anchor the number of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for part in chunks(batch.column("doc_key").to_numpy(), data, offsets, size):
-                waiting.append(sampled_runs(*part, size))
-                held += len(waiting[-1])
-                if held >= BATCH:
-                    yield send(waiting)
-                    waiting, held = [], 0
-        if held:
-            yield send(waiting)
+        for x in _batches_of_runs(batches, size):
+            anchor, n = np.unique(x["k1"][np.unique(x["k1"] ^ mixed(x["k2"]), return_index=True)[1]], return_counts=True)
+            often = n > max(1, len(x) // share)
+            yield pa.record_batch([pa.array([*anchor[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[often].tolist(), len(x)], pa.int64())], names=["anchor", "runs"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, size: int, hot_runs: int, scratch: Scratch, share: int = HOT_SHARE) -> np.ndarray:
+    """Anchors with more than ``hot_runs`` runs and more than one in ``share`` of all, so ``share`` at most; a run counts once in a batch."""
+    counts = scratch.written(texts.mapInArrow(_count_anchors(size, share), "anchor long, runs long").groupBy("anchor").agg(F.sum("runs").alias("runs")), "anchors")
+    total = counts.where("anchor is null").agg(F.coalesce(F.max("runs"), F.lit(0))).first()[0]
+    found = counts.where((F.col("anchor").isNotNull()) & (F.col("runs") > max(hot_runs, total // share))).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
+def bucket_of(x: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """By anchor; runs of a hot one by their bytes."""
+    route = np.where(np.isin(x["k1"], hot), x["k2"], x["k1"]) if len(hot) else x["k1"]
+    return (route >> np.uint64(24)) % np.uint64(buckets)
+
+
+def _deal_runs(size: int, buckets: int, shared: Broadcast):
+    schema = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("done", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _batches_of_runs(batches, size):
+            kept, later = earliest_runs(x)  # a string that many documents share leaves a batch once
+            order, cuts = split_by(bucket_of(kept, shared.value, buckets), buckets)
+            kept, shares = kept[order], np.array_split(repeats(later), buckets)
+            yield pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([columns_of(kept[cuts[b] : cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([columns_of(x) for x in shares], pa.binary())], schema=schema)
 
     return run
 
@@ -230,7 +336,7 @@ def from_columns(raw: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _spans(x: np.ndarray, k1: np.ndarray | None = None, hot: np.ndarray | None = None, anchor: np.ndarray | None = None) -> pa.RecordBatch:
+def _spans(x: np.ndarray, k1: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(x)
     some = k1 is not None
     return pa.record_batch(
@@ -242,61 +348,55 @@ def _spans(x: np.ndarray, k1: np.ndarray | None = None, hot: np.ndarray | None =
 SPANS = "doc_key long, pos int, windows int, route long, hot boolean, open boolean"
 
 
-def _index_runs(hot_runs: int):
-    """A bucket's runs: whole repeats (open = false), and runs whose anchor occurs in other runs too (open)."""
+def _settle_runs(shared: Broadcast):
+    """A bucket's runs: repeats as a whole (open = false), and runs whose anchor occurs in other runs too (open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = LevelFamily()
+        kept, waiting, held = np.zeros(0, RUN), [], 0
         for batch in batches:
-            for raw, done in zip(batch.column("suffixes").to_pylist(), batch.column("done").to_pylist(), strict=True):
-                spans = [from_columns(done, SPAN), *(repeats(x) for x in family.add(from_columns(raw, SUFFIX)))]
-                yield _spans(np.concatenate(spans))
-        kept, late = family.close()
-        for x in late:
-            yield _spans(repeats(x))
+            for raw, done in zip(batch.column("runs").to_pylist(), batch.column("done").to_pylist(), strict=True):
+                yield _spans(from_columns(done, SPAN))
+                waiting.append(from_columns(raw, RUN))
+                held += len(waiting[-1])
+                if held >= max(BATCH, len(kept)):
+                    kept, later = earliest_runs(np.concatenate([kept, *waiting]))
+                    waiting, held = [], 0
+                    yield _spans(repeats(later))
+        kept, later = earliest_runs(np.concatenate([kept, *waiting]))
+        yield _spans(repeats(later))
         new = np.ones(len(kept), bool)
         new[1:] = kept["k1"][1:] != kept["k1"][:-1]
         group = np.cumsum(new) - 1
-        runs = np.bincount(group)[group] if len(kept) else np.zeros(0, np.int64)
-        for part in np.array_split(np.flatnonzero(runs > 1), 1 + len(kept) // BATCH):
-            yield _spans(kept[part], kept["k1"][part], runs[part] > hot_runs)
+        hot = np.isin(kept["k1"], shared.value)
+        opened = hot | (np.bincount(group)[group] > 1) if len(kept) else hot
+        for part in np.array_split(np.flatnonzero(opened), 1 + len(kept) // BATCH):
+            yield _spans(kept[part], kept["k1"][part], hot[part])
 
     return run
 
 
-def _window_suffixes(data: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
-    """The suffix of every window of runs that begin at ``at`` of ``data``."""
-    total = int(windows.sum())
-    out = np.empty(total, SUFFIX)
-    step = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.repeat(at, windows) + step
-    out["k1"], out["k2"] = Prefix(data, BASES[0]).of(start, start + size), Prefix(data, BASES[1]).of(start, start + size)
-    out["doc"], out["pos"], out["windows"], out["anchor"] = np.repeat(doc, windows), np.repeat(pos, windows) + step, 1, 0
-    return out
-
-
 def _open_runs(size: int, buckets: int):
-    """Joined text and open runs -> the runs' bytes by bucket of their anchor; hot ones as windows by bucket of the window."""
-    schema = pa.schema([("bucket", pa.int32()), ("bytes", pa.binary()), ("runs", pa.binary()), ("suffixes", pa.binary()), ("done", pa.binary())])
-
-    def send(cold: list, hot: list) -> pa.RecordBatch:
-        rows = [[b"", b"", b"", b""] for _ in range(buckets)]
-        if cold:
-            data, runs, route = np.concatenate([x[0] for x in cold]), np.concatenate([x[1] for x in cold]), np.concatenate([x[2] for x in cold])
-            ends = np.cumsum(runs["windows"].astype(np.int64) + size - 1)
-            order, cuts = split_by((route >> np.uint64(24)) % np.uint64(buckets), buckets)
-            begins = ends - runs["windows"] - size + 1
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[b] : cuts[b + 1]]
-                rows[b][:2] = b"".join(data[begins[i] : ends[i]].tobytes() for i in own), columns_of(runs[own])
-        if hot:
-            kept, later = in_suffix_order(np.concatenate(hot))
-            order, cuts = split_by((kept["k1"] >> np.uint64(24)) % np.uint64(buckets), buckets)
-            shares = np.array_split(repeats(later), buckets)
-            for b in range(buckets):
-                rows[b][2:] = columns_of(kept[order[cuts[b] : cuts[b + 1]]]), columns_of(shares[b])
-        own = [b for b in range(buckets) if any(rows[b])]
-        return pa.record_batch([pa.array(own, pa.int32()), *(pa.array([rows[b][k] for b in own], pa.binary()) for k in range(4))], schema=schema)
+    """Joined text and open runs -> the runs' bytes by bucket of their anchor; hot ones window by window, by bucket of the window."""
+    schema = pa.schema([("bucket", pa.int32()), ("bytes", pa.binary()), ("runs", pa.binary()), ("done", pa.binary())])
+
+    def send(found: list, windows: list) -> pa.RecordBatch:
+        done = [np.zeros(0, SPAN)]
+        for text, runs in windows:
+            own, repeated = SuffixArray.of(text, runs, size)
+            done.append(repeated)
+            doc, pos = own.places(own.at)
+            single = np.empty(len(own), SPAN)
+            single["doc"], single["pos"], single["windows"] = doc, pos, 1
+            data = np.lib.stride_tricks.sliding_window_view(text, size)[own.at].ravel()
+            found.append((data, single, Prefix(text, BASES[0]).of(own.at, own.at + size)))
+        data, runs, route = (np.concatenate([x[k] for x in found]) for k in range(3))
+        ends = np.cumsum(runs["windows"].astype(np.int64) + size - 1)
+        begins = ends - runs["windows"] - size + 1
+        order, cuts = split_by((route >> np.uint64(24)) % np.uint64(buckets), buckets)
+        shares = np.array_split(np.concatenate(done), buckets)
+        own = [b for b in range(buckets) if cuts[b] < cuts[b + 1] or len(shares[b])]
+        raw = [b"".join(data[begins[i] : ends[i]].tobytes() for i in order[cuts[b] : cuts[b + 1]].tolist()) for b in own]
+        return pa.record_batch([pa.array(own, pa.int32()), pa.array(raw, pa.binary()), pa.array([columns_of(runs[order[cuts[b] : cuts[b + 1]]]) for b in own], pa.binary()), pa.array([columns_of(shares[b]) for b in own], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold, hot, held = [], [], 0
@@ -311,21 +411,18 @@ def _open_runs(size: int, buckets: int):
             route, is_hot = flat.field("route").to_numpy().view(np.uint64), flat.field("hot").to_numpy(zero_copy_only=False)
             at = np.repeat(offsets[:-1], counts) + runs["pos"]
             inside = at + runs["windows"] + size - 1 <= np.repeat(offsets[1:], counts)  # another row of the same id may be shorter
-            for sel, is_cold in ((inside & ~is_hot, True), (inside & is_hot, False)):
-                if not sel.any():
-                    continue
-                a, r = at[sel], runs[sel]
-                if is_cold:
+            for sel, to in ((inside & ~is_hot, cold), (inside & is_hot, hot)):
+                for part in np.array_split(np.flatnonzero(sel), 1 + sel.sum() // 1000):
+                    if not len(part):
+                        continue
+                    a, r = at[part], runs[part]
                     length = r["windows"].astype(np.int64) + size - 1
                     take = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                    cold.append((data[take], r, route[sel]))
-                    held += int(length.sum())
-                else:
-                    hot.append(_window_suffixes(data, a, r["doc"], r["pos"], r["windows"], size))
-                    held += 32 * len(hot[-1])
-            if held >= 4 << 20:
-                yield send(cold, hot)
-                cold, hot, held = [], [], 0
+                    to.append((data[take], r, route[part])[: 3 if to is cold else 2])
+                    held += int(length.sum()) * (1 if to is cold else 25)
+                    if held >= 4 << 20:
+                        yield send(cold, hot)
+                        cold, hot, held = [], [], 0
         if held:
             yield send(cold, hot)
 
@@ -334,16 +431,12 @@ def _open_runs(size: int, buckets: int):
 
 def _index_windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = LevelFamily()
+        family = SuffixFamily(size)
         for batch in batches:
-            for raw, runs, ready, done in zip(*(batch.column(c).to_pylist() for c in ("bytes", "runs", "suffixes", "done")), strict=True):
-                r = from_columns(runs, SPAN)
-                length = r["windows"].astype(np.int64) + size - 1
-                own = _window_suffixes(np.frombuffer(raw, np.uint8), np.cumsum(length) - length, r["doc"], r["pos"], r["windows"], size) if len(r) else np.zeros(0, SUFFIX)
-                spans = [from_columns(done, SPAN), *(repeats(x) for x in family.add(np.concatenate([own, from_columns(ready, SUFFIX)])))]
-                yield _spans(joined(np.concatenate(spans)))
-        for x in family.close()[1]:
-            yield _spans(joined(repeats(x)))
+            for raw, runs, done in zip(*(batch.column(c).to_pylist() for c in ("bytes", "runs", "done")), strict=True):
+                yield _spans(joined(np.concatenate([from_columns(done, SPAN), *family.add(np.frombuffer(raw, np.uint8), from_columns(runs, SPAN))])))
+        for x in family.close():
+            yield _spans(x)
 
     return run
 
@@ -362,25 +455,26 @@ def joined(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100, hot_runs: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_key, text) of ``docs``, and rows (doc_key, pos, windows): ``windows`` strings of ``min_bytes`` from ``pos`` on also start earlier."""
-    spark = docs.sparkSession
+def repeat_spans(texts: DataFrame, min_bytes: int = 100, hot_runs: int = 20_000) -> DataFrame:
+    """(doc_key, text) -> rows (doc_key, spans), a written table: of each span (pos, windows) ``windows`` strings of ``min_bytes`` from ``pos`` on also start earlier."""
+    spark = texts.sparkSession
     if not 4 <= min_bytes <= 20_000:
         raise ValueError("min_bytes must lie between 4 and 20000")
     small_batches(spark)
     n = partitions(spark)
-    texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    sent = texts.mapInArrow(_run_batches(min_bytes, n), "bucket int, suffixes binary, done binary")
-    found = written(sent.repartitionById(n, "bucket").mapInArrow(_index_runs(hot_runs), SPANS), "suffix-runs")
-    opened = found.where("open").groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows", "route", "hot")).alias("runs"))
-    windows = (
-        texts.join(opened, "doc_key")
-        .mapInArrow(_open_runs(min_bytes, n), "bucket int, bytes binary, runs binary, suffixes binary, done binary")
-        .repartitionById(n, "bucket")
-        .mapInArrow(_index_windows(min_bytes), SPANS)
-    )
-    spans = found.where("not open").unionByName(windows).select("doc_key", "pos", "windows")
-    return texts, spans
+    with Scratch(spark) as scratch:
+        hot = spark.sparkContext.broadcast(hot_anchors(texts, min_bytes, hot_runs, scratch))  # HOT_SHARE numbers at most
+        sent = texts.mapInArrow(_deal_runs(min_bytes, n, hot), "bucket int, runs binary, done binary")
+        found = scratch.written(sent.repartitionById(n, "bucket").mapInArrow(_settle_runs(hot), SPANS), "runs")
+        opened = found.where("open").groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows", "route", "hot")).alias("runs"))
+        windows = (
+            texts.join(opened, "doc_key")
+            .mapInArrow(_open_runs(min_bytes, n), "bucket int, bytes binary, runs binary, done binary")
+            .repartitionById(n, "bucket")
+            .mapInArrow(_index_windows(min_bytes), SPANS)
+        )
+        spans = found.where("not open").unionByName(windows).groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows")).alias("spans"))
+        return written(spans, "spans")
 
 
 def removed_ranges(spans: list | None, n_bytes: int, size: int) -> np.ndarray:
@@ -427,18 +521,13 @@ def within_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    own = spans.groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows")).alias("spans"))
-    return texts.join(own, "doc_key", "left")
-
-
 REMOVED = "removed array<struct<start:bigint,end:bigint>>"
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100, **more) -> DataFrame:
     """Per document, to the byte: doc_key, n_bytes, n_removed, n_spans, kept_sha256, removed ranges."""
-    texts, spans = repeat_spans(docs, id_col, text_col, min_bytes, **more)
-    return _with_spans(texts, spans).mapInArrow(_digest(min_bytes), f"doc_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {REMOVED}")
+    texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(repeat_spans(texts, min_bytes, **more), "doc_key", "left").mapInArrow(_digest(min_bytes), f"doc_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {REMOVED}")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100, **more) -> DataFrame:
@@ -446,10 +535,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_b
 
     The text of a document is replaced; a null text stays null.
     """
-    _, spans = repeat_spans(docs, id_col, text_col, min_bytes, **more)
-    row = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    own = spans.groupBy("doc_key").agg(F.collect_list(F.struct("pos", "windows")).alias("spans"))
-    cut = row.join(own, "doc_key", "left")
+    row = own_keys(docs, id_col, text_col)
+    cut = row.join(repeat_spans(row.select("doc_key", "text"), min_bytes, **more), "doc_key", "left")
     kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(_cut_text(min_bytes)(F.col("text"), F.col("spans")))
     out = cut.select("row", kept.alias("kept"))
     return out.select(*[(F.col("kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
