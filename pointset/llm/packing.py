@@ -1,9 +1,10 @@
 """Best-fit packing of pieces into sequences of a fixed capacity, by exact-complement hashing.
 
 Only the number of pieces of each length matters for the plan, so the driver sees a histogram of at most ``capacity``
-counts, however many pieces there are.  ``plan`` takes the longest length that is left, looks its gap up among the sums of
-one, two and three lengths that are still available, and uses the combination as often as the counts allow; what has no
-exact complement is packed best-fit, longest first.  Pieces then find their place by their rank among the pieces of
+counts, however many pieces there are.  ``SumIndex`` is a hash of the sums of one, two and three lengths to the combinations
+that make them, with the counts that are still available.  ``plan`` takes the longest length that is left, looks its gap
+up in the index, and uses the combination as often as the counts allow; what has no exact complement is packed best-fit,
+longest first.  Pieces then find their place by their rank among the pieces of
 their length: a rank is a count within a salt plus the counts of the salts before, so no length is ever in one task,
 and pieces that fill a sequence alone need none.
 
@@ -22,34 +23,70 @@ from pyspark.sql import functions as F
 from pointset.llm.common import partitions
 
 
-def complement(gap: int, left: np.ndarray, own: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that add up to ``gap``, the longest first; ``left`` has the counts without the piece itself."""
-    if left[gap]:
-        return (gap,)
-    here = np.flatnonzero(left[:gap])
-    if not len(here):
+class SumIndex:
+    """Combinations of available lengths by their sum: singles are the counts themselves, pairs are listed by sum, the longer length first, and a triple is a longest length and a sum of pairs.
+
+    Counts only fall, so a combination that they no longer allow is taken out of the index when it is met.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        top = len(left) - 1
+        have = np.flatnonzero(left[: top + 1])
+        have = have[have > 0]
+        a, b = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        fit = (a >= b) & (a + b <= top)
+        a, b = a[fit], b[fit]
+        order = np.lexsort((-a, a + b))
+        cuts = np.searchsorted((a + b)[order], np.arange(top + 2))
+        longer = a[order].tolist()
+        #: sum -> the longer lengths of its pairs, the shortest last
+        self.pairs = {s: longer[cuts[s] : cuts[s + 1]] for s in range(top + 1) if cuts[s] < cuts[s + 1]}
+        least = np.full(top + 1, top + 1)
+        for s, x in self.pairs.items():
+            least[s] = x[-1]
+        self.triples: dict[int, list[int]] = {}
+        for s in range(3, top + 1):
+            first = have[have < s - 1]
+            first = first[least[s - first] <= first]
+            if len(first):
+                self.triples[s] = first.tolist()  # the longest last
+
+    def allows(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, longest: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """The pair with this sum whose longer length is the longest up to ``longest``, available beside other lengths."""
+        found = self.pairs.get(total)
+        if not found:
+            return None
+        gone, out = [], None
+        for k in range(bisect.bisect_left(found, -longest, key=lambda a: -a), len(found)):
+            a, b = found[k], total - found[k]
+            if not self.allows(a, b):
+                gone.append(k)
+            elif self.allows(a, b, *beside):
+                out = (a, b)
+                break
+        for k in reversed(gone):
+            del found[k]
+        return out
+
+    def find(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that add up to ``gap``, the longest first."""
+        if self.left[gap]:
+            return (gap,)
+        two = self.pair(gap, gap)
+        if two:
+            return two
+        first = self.triples.get(gap)
+        while first:
+            a = first[-1]
+            rest = self.pair(gap - a, a, (a,)) if self.left[a] else None
+            if rest:
+                return (a, *rest)
+            first.pop()
         return None
-    other = gap - here
-    fits = (left[other] > 0) & ((here != other) | (left[here] > 1))
-    if fits.any():
-        a = int(here[fits][-1])
-        return (a, gap - a) if a >= gap - a else (gap - a, a)
-    have = left > 0
-    for a in here[::-1].tolist():
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        two = here[(here <= a) & (here < rest)]
-        three = rest - two
-        fits = (three <= two) & have[three]
-        for b in two[fits][::-1].tolist():
-            c = rest - b
-            used = {}
-            for x in (a, b, c):
-                used[x] = used.get(x, 0) + 1
-            if all(left[x] >= n for x, n in used.items()):
-                return (a, b, c)
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -59,12 +96,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit {capacity}")
         left[length] += n
+    index = SumIndex(left)
     out: dict[tuple[int, ...], int] = {}
     residual = np.zeros(capacity + 1, np.int64)
     for length in range(capacity, 0, -1):
         while left[length]:
             gap, left[length] = capacity - length, left[length] - 1
-            found = () if gap == 0 else complement(gap, left, length)
+            found = () if gap == 0 else index.find(gap)
             left[length] += 1
             if found is None:
                 residual[length], left[length] = left[length], 0
