@@ -11,30 +11,41 @@ aligned and verified: the item is found if some part of the document is at a wor
 With 20 % of a window's words edited, about half of the coordinates of a walk still agree, so a table of four coordinates
 hits with a probability of 1/16 and 36 tables with 0.9; a passage has several aligned windows.  tests/llm measures recall.
 
-The document side is one pass without a shuffle.  Items come in blocks of ``block_items``, which bounds what is broadcast;
-more items are more passes.
+The document side is one pass without a shuffle.  Items come in blocks of ``block_items``: a block's index is broadcast, its
+matches are written, the broadcast is freed, and the next block comes; more items are more passes.
 
-Words are runs of bytes that are no ASCII control, space or punctuation character, with A-Z in lower case.
+Words are runs of bytes that are no ASCII control, space or punctuation character, with A-Z in lower case; in scripts that
+are written without spaces every character is a word.
 
-Defined cases: null and empty texts match nothing; items under five words are too short to prove anything and match nothing;
-equal items are found each under its own id; rows that repeat an id repeat their matches once.
+The windows are those of the size class of an item (16, 8 or 4 words), not as long as the item: an item of 60 words has its
+edits spread over several windows, and one of them with few edits is enough.
+
+Items of under five words may have no edit and are found by the equality of their whole word sequence.  Such an item may be
+a common phrase, so ``without_leaks`` drops a document for it only if the document has no other words.
+
+Defined cases: null and empty texts match nothing, items without words neither; equal items are found each under its own id;
+rows that repeat an id repeat their matches once, of several matches the one with the fewest edits that comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import NO_ID, id_key, mixed, small_batches, text_bytes
+from pointset.llm.common import NO_ID, id_key, mixed, own_keys, small_batches, text_bytes, written
 from pointset.llm.jaccard_join import slices
 from pointset.llm.toxicity import marked_words
 
 #: Smallest item of a class, words of its windows, stride of document windows: stride <= item words - window words + 1.
 CLASSES = ((24, 16, 8), (12, 8, 4), (5, 4, 2))
+#: Items with fewer words are found by equality.
+SHORT = 5
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -91,10 +102,30 @@ class ItemIndex:
                 bits[(key >> np.uint64(44)).astype(np.int64)] = True
                 tables.append((key[order], item[order], offset[order], np.packbits(bits)))
             self.tables.append((sampler, stride, tables))
+        self.short = []
+        for size in range(1, SHORT):
+            own = np.array([i for i, (_, w) in enumerate(items) if len(w) == size], np.int64)
+            key = np.array([sequence_keys(items[i][1], size)[0] for i in own], np.uint64)
+            self.short.append((key[np.argsort(key)], own[np.argsort(key)]))
+
+    def short_candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The first place of each short item in each text."""
+        for size, (known, item) in enumerate(self.short, 1):
+            if not len(item) or len(words) < size:
+                continue
+            key = sequence_keys(words, size)
+            text = np.searchsorted(at, np.arange(len(key)), side="right") - 1
+            lo, hi = np.searchsorted(known, key), np.searchsorted(known, key, side="right")
+            hit = np.flatnonzero((hi > lo) & (np.arange(len(key)) + size <= at[text + 1]))
+            n = hi[hit] - lo[hit]
+            which = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            start = np.repeat(hit, n)
+            found = np.stack([text[start], item[which], start - at[text[start]]], 1)
+            yield found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
 
     def candidates(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (text, item, word of the text where the item would begin); ``at``: where each text's words begin."""
-        out = []
+        out = [*self.short_candidates(words, at)]
         counts = np.diff(at)
         for sampler, stride, tables in self.tables:
             n = -(-np.maximum(counts - sampler.width // 2, 0) // stride)
@@ -115,7 +146,7 @@ class ItemIndex:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, begin in found.tolist():
             own = self.items[item][1]
-            most = int(max_edits * len(own))
+            most = int(max_edits * len(own)) if len(own) >= SHORT else 0
             if best.get((text, item), (1,))[0] == 0:
                 continue
             lo = max(at[text], at[text] + begin - most)
@@ -128,6 +159,14 @@ class ItemIndex:
         return [(t, i, *b) for (t, i), b in sorted(best.items())]
 
 
+def sequence_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A fingerprint of each run of ``size`` words."""
+    key = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(key)])
+    return key
+
+
 def nearest_part(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     """The least edit distance of ``item`` to any run of words of ``part``, and that run."""
     n = len(part)
@@ -147,48 +186,54 @@ def nearest_part(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-MATCH = "doc_key long, item_key long, edits int, item_words int, first_word int, end_word int"
+MATCH = "doc_key long, item_key long, edits int, item_words int, first_word int, end_word int, doc_words int"
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word fingerprints of all texts, and where each text's begin."""
+    data, offsets = text_bytes(texts)
+    words, starts, _ = marked_words(data, offsets, characters=True)
+    return words, np.searchsorted(starts, offsets)
+
+
+def _matches(texts: DataFrame, index: Broadcast, max_edits: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            ids = batch.column("doc_key").to_pylist()
+            for lo, hi in slices(text_bytes(batch.column("text"))[1]):
+                words, at = _words(batch.column("text").slice(lo, hi - lo))
+                found = own.verify(words, at, own.candidates(words, at), max_edits)
+                rows = [(ids[lo + t], own.items[i][0], edits, len(own.items[i][1]), a, b, int(at[t + 1] - at[t])) for t, i, edits, a, b in found]
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in MATCH.split(", ")])
+
+    return texts.mapInArrow(run, MATCH)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_edits: float = 0.2, walks: int = 6, samples: int = 6, block_items: int = 2000) -> DataFrame:
-    """One row for each document and each item that it holds: doc_key, item_key, edits, item_words, first_word, end_word (places in words)."""
+    """One row for each document and each item that it holds: doc_key, item_key, edits, item_words, first_word, end_word (places in words), doc_words."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(id_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NO_ID)).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    out, block = None, []
-
-    def passed(block: list) -> DataFrame:
-        raw = [t.encode() for _, t in block]
-        offsets = np.cumsum([0, *map(len, raw)])
-        words, starts, _ = marked_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        at = np.searchsorted(starts, offsets)
-        index = spark.sparkContext.broadcast(ItemIndex([(i, words[a:b]) for (i, _), a, b in zip(block, at[:-1], at[1:], strict=True)], walks, samples))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                ids = batch.column("doc_key").to_pylist()
-                data, offsets = text_bytes(batch.column("text"))
-                for lo, hi in slices(offsets):
-                    words, starts, _ = marked_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    at = np.searchsorted(starts, offsets[lo : hi + 1] - offsets[lo])
-                    found = own.verify(words, at, own.candidates(words, at), max_edits)
-                    yield pa.record_batch([pa.array([ids[lo + t] for t, *_ in found], pa.int64()), pa.array([own.items[i][0] for _, i, *_ in found], pa.int64()), pa.array([e for _, _, e, *_ in found], pa.int32()), pa.array([len(own.items[i][1]) for _, i, *_ in found], pa.int32()), pa.array([a for *_, a, _ in found], pa.int32()), pa.array([b for *_, b in found], pa.int32())], names=["doc_key", "item_key", "edits", "item_words", "first_word", "end_word"])
-
-        return texts.mapInArrow(run, MATCH)
-
-    for row in rows.toLocalIterator():  # one block of items at a time
-        block.append((row["item"], row["text"]))
-        if len(block) == block_items:
-            out, block = passed(block) if out is None else out.unionByName(passed(block)), []
-    if block or out is None:
-        out = passed(block) if out is None else out.unionByName(passed(block))
-    return out.dropDuplicates(["doc_key", "item_key"])
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns stay."""
-    bad = find_leaks(docs, benchmark, id_col, **more).select("doc_key").distinct()
-    rows = docs.select(id_key(id_col).alias("doc_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out, items = spark.createDataFrame([], MATCH), rows.toLocalIterator()
+    while block := list(islice(items, block_items)):  # one block of items at a time
+        words, at = _words(pa.array([r["text"] for r in block], pa.string()))
+        index = spark.sparkContext.broadcast(ItemIndex([(r["item"], words[a:b]) for r, a, b in zip(block, at[:-1], at[1:], strict=True)], walks, samples))
+        out = out.unionByName(written(_matches(texts, index, max_edits), "leaks"))
+        index.unpersist()
+    match = [c for c in out.columns if c not in ("doc_key", "item_key")]
+    best = out.groupBy("doc_key", "item_key").agg(F.min(F.struct("edits", "first_word", *[c for c in match if c not in ("edits", "first_word")])).alias("best"))
+    return best.select("doc_key", "item_key", *[F.col("best")[c].alias(c) for c in match])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``docs`` without the documents that hold an item (see above for items of under five words); all columns stay.
+
+    Rows of one id with unlike texts, and rows without id, are judged each for itself.
+    """
+    rows = own_keys(docs, id_col, text_col)
+    found = find_leaks(rows, benchmark, "doc_key", "text", **more)
+    bad = found.where(f"item_words >= {SHORT} or doc_words = item_words").select("doc_key").distinct()
     return rows.join(bad, "doc_key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
