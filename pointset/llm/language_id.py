@@ -2,7 +2,8 @@
 
 Filters of several widths run over the bytes of fixed-length windows, the largest answer of each filter in a window goes
 through a ReLU to a softmax over languages, and a document's probabilities are the mean over all of its windows: whole
-texts are read, in batches of windows.  Training is plain numpy on a bounded sample of labelled rows (``max_rows``).  For
+texts are read, in batches of windows.  Training is plain numpy on a bounded sample: ``max_windows`` windows, drawn by hash
+from all windows of the whole texts of ``max_rows`` labelled rows.  For
 prediction the byte embedding and the filters are folded into lookup tables over bytes and byte pairs, which gives the same
 numbers with one gather for each pair.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import id_key, small_batches, text_bytes
+from pointset.llm.common import id_key, mixed, small_batches, text_bytes
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
 UNKNOWN = "und"
@@ -31,11 +32,15 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def labelled_sample(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """At most about ``max_rows`` rows, those whose id has the smallest hash."""
-    mark = F.xxhash64(F.col(id_col).cast("string"))
-    last = rows.select(mark.alias("mark")).orderBy("mark").limit(max_rows).agg(F.max("mark")).first()[0]
-    return rows.where(mark <= last) if last is not None else rows.limit(0)
+def labelled_sample(rows: DataFrame, id_col: str, max_rows: int, *more: str) -> DataFrame:
+    """At most ``max_rows`` rows, those whose id has the smallest hash, with that hash as ``__mark``; ties go by the hash of the columns ``more``, and of rows that are equal in both one stays."""
+    marked = rows.withColumn("__mark", F.xxhash64(F.col(id_col).cast("string"))).withColumn("__tie", F.xxhash64(id_col, *more))
+    pair = F.struct("__mark", "__tie")
+    last = marked.select(pair.alias("pair")).orderBy("pair").limit(max_rows).agg(F.max("pair")).first()[0]
+    if last is None:
+        return marked.limit(0).drop("__tie")
+    inside = (F.col("__mark") < last[0]) | ((F.col("__mark") == last[0]) & (F.col("__tie") <= last[1]))
+    return marked.where(inside).dropDuplicates(["__mark", "__tie"]).drop("__tie")
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +147,31 @@ class Folded:
         return np.stack([np.bincount(text, p[:, k], minlength=len(n)) for k in range(p.shape[1])], 1) / n[:, None]
 
 
-def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2500, windows_each: int = 8) -> Network | None:
-    """Trains on at most ``max_rows`` labelled rows, ``windows_each`` windows of each text, spread over the whole text."""
-    good = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = labelled_sample(good, id_col, max_rows).select(F.xxhash64(F.col(id_col).cast("string")).alias("mark"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
-    sample = sorted(sample, key=lambda r: (r["mark"], r["lang"], r["text"]))
-    if not sample:
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of every text, with a hash of the text's mark and the window's number."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        mark = batch.column("mark").to_numpy().view(np.uint64)
+        for a, b in _slices(offsets):
+            rows, text = windows_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            number = np.arange(len(text)) - np.searchsorted(text, text)
+            draw = mixed(mark[a:b][text] + mixed(number.astype(np.uint64))) >> np.uint64(1)
+            yield pa.record_batch([pa.array(draw.astype(np.int64)), batch.column("lang").slice(a, b - a).take(pa.array(text)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["draw", "lang", "window"])
+
+
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2500, max_windows: int = 20_000) -> Network | None:
+    """Trains on ``max_windows`` windows at most of ``max_rows`` labelled rows at most.
+
+    Executors cut the texts; of all windows of the whole texts those with the smallest hash come to the driver.
+    """
+    good = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    sample = labelled_sample(good, "id", max_rows, "text", "lang").select(F.col("__mark").alias("mark"), "text", "lang")
+    found = sample.mapInArrow(_training_windows, "draw long, lang string, window binary").orderBy("draw", "lang", "window").limit(max_windows).collect()
+    if not found:
         return None
-    languages = sorted({r["lang"] for r in sample})
-    raw = [r["text"].encode() for r in sample]
-    offsets = np.cumsum([0, *map(len, raw)])
-    x, text = windows_of(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    order = np.arange(len(text)) - np.searchsorted(text, text)
-    n = np.bincount(text)[text]
-    keep = (order * windows_each // n) != ((order - 1) * windows_each // n)
-    keep |= order == 0
-    labels = np.searchsorted(languages, [r["lang"] for r in sample])[text]
-    return train(x[keep], labels[keep], languages)
+    languages = sorted({r["lang"] for r in found})
+    x = np.frombuffer(b"".join(r["window"] for r in found), np.uint8).reshape(len(found), -1)
+    return train(x, np.searchsorted(languages, [r["lang"] for r in found]), languages)
 
 
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
