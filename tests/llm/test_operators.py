@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -120,23 +121,67 @@ def test_substring_removal_is_exact(docs, rows, hot_runs):
     assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in found.items()} == brute_removal(rows)
 
 
-def test_level_family_keeps_the_earliest():
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    family, every, out = substring_dedup.LevelFamily(batch=50), [], []
-    for k in range(40):
-        x = np.zeros(30, substring_dedup.SUFFIX)
-        x["k1"], x["doc"] = rng.integers(0, 200, 30), rng.permutation(30) + 30 * k
-        every.append(x)
-        out += family.add(x)
-    kept, late = family.close()
-    every = np.concatenate(every)
-    first = {}
-    for k, d in zip(every["k1"].tolist(), every["doc"].tolist(), strict=True):
-        first[k] = min(d, first.get(k, d))
-    assert dict(zip(kept["k1"].tolist(), kept["doc"].tolist(), strict=True)) == first
-    assert len(kept) + sum(map(len, [*out, *late])) == len(every)
+def some_runs(rng, n, size):
+    """Runs over few letters, the zero byte among them, so that many strings repeat."""
+    texts, runs = [], np.zeros(n, substring_dedup.SPAN)
+    for k in range(n):
+        runs[k] = (k, rng.randrange(5), rng.randrange(1, 12))
+        texts.append(bytes(rng.choice(b"\0ab") for _ in range(runs[k]["windows"] + size - 1)))
+    return texts, runs
+
+
+def brute_repeats(texts, runs, size):
+    first, every = {}, {}
+    for text, (doc, pos, windows) in zip(texts, runs.tolist(), strict=True):
+        for w in range(windows):
+            every[doc, pos + w] = text[w : w + size]
+    for place in sorted(every):
+        first.setdefault(every[place], place)
+    return {p for p, x in every.items() if first[x] != p}
+
+
+def places(spans):
+    return [(d, p + k) for x in spans for d, p, n in x.tolist() for k in range(n)]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 40, 10_000])
+def test_suffix_family_finds_every_repeat_once(batch):
+    rng = random.Random(batch)
+    texts, runs = some_runs(rng, 150, 6)
+    order = list(range(150))
+    rng.shuffle(order)
+    family, out = substring_dedup.SuffixFamily(6, batch), []
+    for k in range(0, 150, 13):
+        own = order[k : k + 13]
+        out += family.add(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), runs[own])
+    out += list(family.close())
+    assert len(family.levels) == 1
+    found = places(out)
+    assert len(found) == len(set(found)) and set(found) == brute_repeats(texts, runs, 6)
+    level = family.levels[0]
+    strings = [level.text[a : a + 6].tobytes() for a in level.at.tolist()]
+    assert strings == sorted(set(strings))
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 15])
+def test_merge_scan(stretch):
+    rng = random.Random(stretch)
+    texts, runs = some_runs(rng, 80, 5)
+    halves = [substring_dedup.SuffixArray.of(np.frombuffer(b"".join(texts[k::2]), np.uint8), runs[k::2], 5) for k in (0, 1)]
+    level, repeated = substring_dedup.merge_scan(halves[0][0], halves[1][0], 5, stretch)
+    assert set(places([halves[0][1], halves[1][1], repeated])) == brute_repeats(texts, runs, 5)
+    strings = [level.text[a : a + 5].tobytes() for a in level.at.tolist()]
+    assert strings == sorted(set(strings))
+
+
+def test_dedup_of_rows_without_id_and_of_repeated_ids(spark):
+    """Unlike texts are judged on their own; what one repeats of another goes, nothing else does."""
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, b), (None, None), (7, c), (7, a + " tail"), (8, b)]
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert (7, c) in found and (8, b) in found  # the first of each text stays whole
+    assert len(found) == len(rows) and sum(len(t) for _, t in found) <= len(a + b + c) + 10
 
 
 # --- decontamination ----------------------------------------------------------------------------------------------------
