@@ -375,11 +375,14 @@ def _settle_runs(shared: Broadcast):
     return run
 
 
-def _open_runs(size: int, buckets: int):
+def _open_runs(size: int, buckets: int, at_once: int = 4 << 20):
     """Joined text and open runs -> the runs' bytes by bucket of their anchor; hot ones window by window, by bucket of the window."""
     schema = pa.schema([("bucket", pa.int32()), ("bytes", pa.binary()), ("runs", pa.binary()), ("done", pa.binary())])
 
-    def send(found: list, windows: list) -> pa.RecordBatch:
+    def send(cold: list, hot: list) -> pa.RecordBatch:
+        found, windows = cold[:], hot[:]
+        cold.clear()
+        hot.clear()
         done = [np.zeros(0, SPAN)]
         for text, runs in windows:
             own, repeated = SuffixArray.of(text, runs, size)
@@ -420,9 +423,9 @@ def _open_runs(size: int, buckets: int):
                     take = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(length.sum())
                     to.append((data[take], r, route[part])[: 3 if to is cold else 2])
                     held += int(length.sum()) * (1 if to is cold else 25)
-                    if held >= 4 << 20:
+                    if held >= at_once:
                         yield send(cold, hot)
-                        cold, hot, held = [], [], 0
+                        held = 0
         if held:
             yield send(cold, hot)
 

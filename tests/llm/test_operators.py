@@ -174,6 +174,28 @@ def test_merge_scan(stretch):
     assert strings == sorted(set(strings))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_opened_runs_all_leave(hot):
+    """However often the runs of a partition are sent on, each leaves once, with its bytes."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(300)) for _ in range(40)]
+    runs = [[{"pos": 17 * k, "windows": 9, "route": rng.randrange(1 << 62), "hot": hot} for k in range(12)] for _ in texts]
+    kinds = pa.list_(pa.struct([("pos", pa.int32()), ("windows", pa.int32()), ("route", pa.int64()), ("hot", pa.bool_())]))
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array([t.decode() for t in texts]), pa.array(runs, kinds)], names=["doc_key", "text", "runs"])
+    found = []
+    for out in substring_dedup._open_runs(10, 4, 700)(iter([batch, batch.slice(0, 0)])):
+        for raw, own, done in zip(*(out.column(c).to_pylist() for c in ("bytes", "runs", "done")), strict=True):
+            at = 0
+            for doc, pos, windows in substring_dedup.from_columns(own, substring_dedup.SPAN).tolist():
+                assert raw[at : at + windows + 9] == texts[doc][pos : pos + windows + 9]
+                at += windows + 9
+                found += [(doc, pos + w) for w in range(windows)]
+            found += places([substring_dedup.from_columns(done, substring_dedup.SPAN)])
+    assert sorted(found) == sorted((d, r["pos"] + w) for d in range(40) for r in runs[d] for w in range(9))
+
+
 def test_dedup_of_rows_without_id_and_of_repeated_ids(spark):
     """Unlike texts are judged on their own; what one repeats of another goes, nothing else does."""
     rng = random.Random(15)
