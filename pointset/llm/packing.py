@@ -32,45 +32,37 @@ class SumIndex:
     def __init__(self, left: np.ndarray):
         self.left = left
         top = len(left) - 1
-        have = np.flatnonzero(left[: top + 1])
+        have = np.flatnonzero(left).astype(np.int16 if top < 1 << 15 else np.int64)
         have = have[have > 0]
-        a, b = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
-        fit = (a >= b) & (a + b <= top)
-        a, b = a[fit], b[fit]
-        order = np.lexsort((-a, a + b))
-        cuts = np.searchsorted((a + b)[order], np.arange(top + 2))
-        longer = a[order].tolist()
-        #: sum -> the longer lengths of its pairs, the shortest last
-        self.pairs = {s: longer[cuts[s] : cuts[s + 1]] for s in range(top + 1) if cuts[s] < cuts[s + 1]}
+        #: sum -> the longer lengths of its pairs, longest first; and the shortest of them
+        self.pairs: dict[int, np.ndarray] = {}
         least = np.full(top + 1, top + 1)
-        for s, x in self.pairs.items():
-            least[s] = x[-1]
-        self.triples: dict[int, list[int]] = {}
+        for s in range(2, top + 1):
+            longer = have[(2 * have.astype(np.int64) >= s) & (have < s)]
+            longer = longer[left[s - longer] > 0][::-1]
+            if len(longer):
+                self.pairs[s], least[s] = longer, longer[-1]
+        #: sum -> the longest lengths of its triples, longest first
+        self.triples: dict[int, np.ndarray] = {}
         for s in range(3, top + 1):
             first = have[have < s - 1]
-            first = first[least[s - first] <= first]
+            first = first[least[s - first] <= first][::-1]
             if len(first):
-                self.triples[s] = first.tolist()  # the longest last
+                self.triples[s] = first
 
-    def allows(self, *lengths: int) -> bool:
-        return all(self.left[x] >= lengths.count(x) for x in lengths)
-
-    def pair(self, total: int, longest: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
-        """The pair with this sum whose longer length is the longest up to ``longest``, available beside other lengths."""
+    def pair(self, total: int, longest: int, beside: int = 0) -> tuple[int, int] | None:
+        """The pair with this sum whose longer length is the longest up to ``longest``, available beside another length."""
         found = self.pairs.get(total)
-        if not found:
+        if found is None:
             return None
-        gone, out = [], None
-        for k in range(bisect.bisect_left(found, -longest, key=lambda a: -a), len(found)):
-            a, b = found[k], total - found[k]
-            if not self.allows(a, b):
-                gone.append(k)
-            elif self.allows(a, b, *beside):
-                out = (a, b)
-                break
-        for k in reversed(gone):
-            del found[k]
-        return out
+        other = total - found
+        free = (self.left[found] > 0) & (self.left[other] > (found == other))
+        if not free.all():
+            found = self.pairs[total] = found[free]
+            other = other[free]
+        used = (found == beside).astype(np.int64) + (other == beside)
+        fits = (found <= longest) & ((used == 0) | (self.left[beside] > used))
+        return (int(found[k := int(fits.argmax())]), total - int(found[k])) if fits.any() else None
 
     def find(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three available lengths that add up to ``gap``, the longest first."""
@@ -80,12 +72,12 @@ class SumIndex:
         if two:
             return two
         first = self.triples.get(gap)
-        while first:
-            a = first[-1]
-            rest = self.pair(gap - a, a, (a,)) if self.left[a] else None
+        while first is not None and len(first):
+            a = int(first[0])
+            rest = self.pair(gap - a, a, a) if self.left[a] else None
             if rest:
                 return (a, *rest)
-            first.pop()
+            first = self.triples[gap] = first[1:]
         return None
 
 
