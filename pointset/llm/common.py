@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,17 @@ def own_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("digest", digest).join(named, ["doc_key", "digest"], "left").select(F.coalesce("own", "doc_key").alias("doc_key"), "text", "row")
 
 
+_MADE: dict[str, tuple] = {}
+
+
+def once_a_worker(shared: Broadcast, make: Callable):
+    """What a Python worker makes of a broadcast value; of each function the last one is remembered, with the value it was made of."""
+    key, value = make.__qualname__, shared.value
+    if key not in _MADE or _MADE[key][0] is not value:
+        _MADE[key] = value, make(value)
+    return _MADE[key][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ aligned and verified: the item is found if some part of the document is at a wor
 With 20 % of a window's words edited, about half of the coordinates of a walk still agree, so a table of four coordinates
 hits with a probability of 1/16 and 36 tables with 0.9; a passage has several aligned windows.  tests/llm measures recall.
 
-The document side is one pass without a shuffle.  Items come in blocks of ``block_items``: a block's index is broadcast, its
+The document side is one pass without a shuffle.  Items come in blocks of ``block_items``: a block is broadcast, its
 matches are written, the broadcast is freed, and the next block comes; more items are more passes.
 
 Words are runs of bytes that are no ASCII control, space or punctuation character, with A-Z in lower case; in scripts that
@@ -38,7 +38,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import NO_ID, id_key, mixed, own_keys, small_batches, text_bytes, written
+from pointset.llm.common import NO_ID, id_key, mixed, once_a_worker, own_keys, small_batches, text_bytes, written
 from pointset.llm.jaccard_join import slices
 from pointset.llm.toxicity import marked_words
 
@@ -196,9 +196,9 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, offsets)
 
 
-def _matches(texts: DataFrame, index: Broadcast, max_edits: float) -> DataFrame:
+def _matches(texts: DataFrame, block: Broadcast, max_edits: float, walks: int, samples: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = once_a_worker(block, lambda items: ItemIndex(items, walks, samples))
         for batch in batches:
             ids = batch.column("doc_key").to_pylist()
             for lo, hi in slices(text_bytes(batch.column("text"))[1]):
@@ -220,9 +220,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out, items = spark.createDataFrame([], MATCH), rows.toLocalIterator()
     while block := list(islice(items, block_items)):  # one block of items at a time
         words, at = _words(pa.array([r["text"] for r in block], pa.string()))
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item"], words[a:b]) for r, a, b in zip(block, at[:-1], at[1:], strict=True)], walks, samples))
-        out = out.unionByName(written(_matches(texts, index, max_edits), "leaks"))
-        index.unpersist()
+        shared = spark.sparkContext.broadcast([(r["item"], words[a:b]) for r, a, b in zip(block, at[:-1], at[1:], strict=True)])  # block_items items; workers make the index
+        out = out.unionByName(written(_matches(texts, shared, max_edits, walks, samples), "leaks"))
+        shared.unpersist()
     match = [c for c in out.columns if c not in ("doc_key", "item_key")]
     best = out.groupBy("doc_key", "item_key").agg(F.min(F.struct("edits", "first_word", *[c for c in match if c not in ("edits", "first_word")])).alias("best"))
     return best.select("doc_key", "item_key", *[F.col("best")[c].alias(c) for c in match])

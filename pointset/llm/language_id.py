@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointset.llm.common import id_key, mixed, small_batches, text_bytes
+from pointset.llm.common import id_key, mixed, once_a_worker, small_batches, text_bytes
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
 UNKNOWN = "und"
@@ -159,7 +159,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.record_batch([pa.array(draw.astype(np.int64)), batch.column("lang").slice(a, b - a).take(pa.array(text)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["draw", "lang", "window"])
 
 
-def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2500, max_windows: int = 20_000) -> Network | None:
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2500, max_windows: int = 12_000) -> Network | None:
     """Trains on ``max_windows`` windows at most of ``max_rows`` labelled rows at most.
 
     Executors cut the texts; of all windows of the whole texts those with the smallest hash come to the driver.
@@ -178,10 +178,10 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     """``docs`` (any columns but text_col pass through) with lang_pred and score; the text goes along as given."""
     small_batches(docs.sparkSession)
     kinds = [f for f in docs.schema.fields]
-    folded = docs.sparkSession.sparkContext.broadcast(Folded(net) if net else None)  # tables over bytes and byte pairs: of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size; workers fold it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = folded.value
+        tables = once_a_worker(shared, lambda own: Folded(own) if own else None)
         for batch in batches:
             column = batch.column(names.index(text_col))
             data, offsets = text_bytes(column)
