@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointset.operators.rangejoin import points_in_ranges, ranges_overlap
-from pointset.operators.scan import running
+from pointset.operators.scan import prefix_scan, running
 
 
 def statistics(intervals: DataFrame, kind: str, waits: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -27,41 +27,69 @@ def statistics(intervals: DataFrame, kind: str, waits: DataFrame | None = None,
     return length.groupBy(kind).agg(F.count("*").alias("invocations"), F.sum("__len").alias("total"), F.sum(run).alias("running"), F.min(run).alias("least"), F.max(run).alias("most"), F.avg(run).alias("mean"), F.coalesce(F.stddev_samp(run), F.lit(0.0)).alias("deviation"))
 
 
-def steps(intervals: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+def steps(intervals: DataFrame, by: list[str], weight: Column | None = None, change: str = "__v") -> DataFrame:
     """Sum of the weights of the open intervals after each time at which one starts or stops: by, t, level."""
     w = F.lit(1).cast("long") if weight is None else weight
     ends = intervals.select(*by, F.col("start").alias("t"), w.alias("__w")).unionAll(intervals.select(*by, F.col("stop").alias("t"), -w))
-    return running(ends, by, "t", F.col("__w"), "level")
+    return running(ends, by, "t", F.col("__w"), "level", change)
+
+
+def _edges(intervals: DataFrame, member: list[str]) -> DataFrame:
+    """The times at which a member turns busy (1) or idle (-1): member, t, turn.  What a time adds tells the level before it."""
+    level = steps(intervals, member, change="__by")
+    return level.where((F.col("level") > 0) != (F.col("level") - F.col("__by") > 0)).select(*member, "t", F.when(F.col("level") > 0, 1).otherwise(-1).cast("long").alias("turn"))
 
 
 def busy(intervals: DataFrame, member: list[str]) -> DataFrame:
-    """Each member's intervals joined where they overlap or touch: member, start, stop."""
-    level = steps(intervals, member)
-    change = level.withColumn("__was", F.lag("level", 1, 0).over(Window.partitionBy(*member).orderBy("t")))
-    edge = change.where("(level > 0 and __was = 0) or (level = 0 and __was > 0)")
-    return edge.withColumn("stop", F.lead("t").over(Window.partitionBy(*member).orderBy("t"))).where("level > 0").select(*member, F.col("t").alias("start"), "stop")
+    """Each member's intervals joined where they overlap or touch: member, start, stop.  The k-th start goes with the k-th stop."""
+    edge = prefix_scan(_edges(intervals, member).withColumn("__one", F.lit(1).cast("long")), member, "t", "__one", "sum", "__k").drop("__one")
+    pair = F.floor((F.col("__k") + 1) / 2)
+    return edge.groupBy(*member, pair.alias("__k")).agg(F.min("t").alias("start"), F.max("t").alias("stop")).drop("__k")
 
 
 def utilization(intervals: DataFrame, group: list[str], member: str, members: DataFrame) -> DataFrame:
-    """The share of a group's members that are busy, after each change; members: group columns and n_members."""
-    return steps(busy(intervals, [*group, member]), group).join(members, group).select(*group, "t", (F.col("level") / F.col("n_members")).alias("busy_share"))
+    """The share of a group's members that are busy, after each change; members: group columns and n_members.
+
+    The members' changes are a checkpoint between the two scans, so the intervals are read for the first one only.
+    """
+    edge = _edges(intervals, [*group, member]).checkpoint()
+    return running(edge, group, "t", F.col("turn"), "level").join(members, group).select(*group, "t", (F.col("level") / F.col("n_members")).alias("busy_share"))
+
 
+def span(intervals: DataFrame) -> DataFrame:
+    """One row: the first start and the last stop, first and last."""
+    return intervals.agg(F.min("start").alias("first"), F.max("stop").alias("last"))
 
-def resample(intervals: DataFrame, by: list[str], lo: int, hi: int, n: int) -> DataFrame:
-    """Mean number of open intervals in each of n buckets of [lo, hi): by, bucket, mean."""
-    width = -(-(hi - lo) // n)
-    cut = trim(intervals, lo, hi)
+
+def resample(intervals: DataFrame, by: list[str], window: DataFrame, n: int) -> DataFrame:
+    """Mean number of open intervals in each of n buckets of a window, a one-row frame (first, last), last exclusive: by, bucket, mean."""
+    width, lo = F.ceil((F.col("last") - F.col("first")) / n), F.col("first")
+    cut = trim(intervals, window, keep=True)
     first, last = F.floor((F.col("start") - lo) / width), F.floor((F.col("stop") - 1 - lo) / width)
     each = cut.where("stop > start").withColumn("bucket", F.explode(F.sequence(first, last)))
     begin = F.col("bucket") * width + lo
     part = F.least(F.col("stop"), begin + width) - F.greatest(F.col("start"), begin)
-    return each.groupBy(*by, "bucket").agg(F.sum(part).alias("__sum")).select(*by, "bucket", (F.col("__sum") / width).alias("mean"))
+    return each.groupBy(*by, "bucket").agg((F.sum(part) / F.max(width)).alias("mean"))
+
 
+def trim(intervals: DataFrame, window: DataFrame, keep: bool = False) -> DataFrame:
+    """Intervals that reach into a window, a one-row frame (first, last), last exclusive, cut to it."""
+    inside = intervals.crossJoin(F.broadcast(window.select("first", "last"))).where("start < last and stop > first")  # one row
+    out = inside.withColumn("start", F.greatest("start", "first")).withColumn("stop", F.least("stop", "last"))
+    return out if keep else out.drop("first", "last")
 
-def trim(intervals: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Intervals that reach into [lo, hi), cut to it."""
-    inside = intervals.where((F.col("start") < hi) & (F.col("stop") > lo))
-    return inside.withColumn("start", F.greatest(F.col("start"), F.lit(lo))).withColumn("stop", F.least(F.col("stop"), F.lit(hi)))
+
+def link(entities: DataFrame, key: str, records: dict[str, DataFrame]) -> DataFrame:
+    """Records of several kinds put with the entity that they name: per entity and kind the number of records and their total length; also records whose entity is unknown.
+
+    entities: key, ...; records: kind -> (key, start, stop).  Rows: the entity's columns, and for each kind n_<kind> and total_<kind>; known is false where only records have the key.
+    """
+    out = entities.withColumn("known", F.lit(True))
+    for kind, rows in records.items():
+        sums = rows.groupBy(key).agg(F.count("*").alias(f"n_{kind}"), F.sum(F.col("stop") - F.col("start")).alias(f"total_{kind}"))
+        out = out.join(sums, key, "full")
+    fill = {f"{what}_{kind}": 0 for kind in records for what in ("n", "total")}
+    return out.fillna(fill).withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def peak(intervals: DataFrame, by: list[str]) -> DataFrame:
@@ -136,15 +164,83 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: in
     return state
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Earliest finish of every node of an event graph: its own duration after the latest of its predecessors.
+def until_still(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], most: int) -> DataFrame:
+    """Steps until one changes nothing, each a checkpoint; an error after ``most``."""
+    for _ in range(most):
+        after = step(state).checkpoint()
+        if changed(state, after).isEmpty():
+            return after
+        state = after
+    raise ValueError(f"not still after {most} steps")
+
 
-    nodes: id, duration; edges: src, dst.  ``rounds`` is the depth of the graph at most.
+def critical_path(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """When each event of an event graph triggers, and the event that decided it: id, finish, critical.
+
+    nodes: id, duration, and if wanted created, queue, unknown; edges: src, dst.  An event triggers ``duration`` after the
+    latest of its predecessors (a queue's: after the earliest), but not before it was created.  Who has no
+    predecessor, or is created after all of them, is critical itself.  An unknown event never triggers, nor does anything
+    after it: finish is null, and critical is an unknown event.  Steps go on until nothing changes; a loop is an error.
     """
-    start = nodes.select("id", "duration", F.col("duration").alias("finish"))
+    for name, default in (("created", F.lit(0).cast("long")), ("queue", F.lit(False)), ("unknown", F.lit(False))):
+        nodes = nodes if name in nodes.columns else nodes.withColumn(name, default)
+    nodes = nodes.select("id", "duration", "created", "queue", "unknown")
+    finish = F.when(~F.col("unknown"), F.col("created") + F.col("duration"))
+    start = nodes.withColumn("finish", finish).withColumn("critical", F.col("id"))
 
     def step(s: DataFrame) -> DataFrame:
-        late = edges.join(s.select(F.col("id").alias("src"), "finish"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("finish").alias("__late"))
-        return s.join(late, "id", "left").select("id", "duration", (F.coalesce("__late", F.lit(0)) + F.col("duration")).alias("finish"))
+        came = edges.join(s.select(F.col("id").alias("src"), F.col("finish").alias("at"), F.when(F.col("finish").isNull(), F.col("critical")).alias("lost"), F.col("critical").alias("way")), "src")
+        by = F.struct("at", "src")
+        seen = came.groupBy(F.col("dst").alias("id")).agg(F.max("lost").alias("lost"), F.max(F.when(F.col("at").isNotNull(), by)).alias("late"), F.min(F.when(F.col("at").isNotNull(), by)).alias("soon"))
+        deciding = F.when(F.col("queue"), F.col("soon")).otherwise(F.col("late"))
+        waits = deciding["at"] > F.col("created")
+        new = F.when(F.col("unknown") | F.col("lost").isNotNull(), None).when(waits, deciding["at"] + F.col("duration")).otherwise(F.col("created") + F.col("duration"))
+        critical = F.when(F.col("unknown"), F.col("id")).when(F.col("lost").isNotNull(), F.col("lost")).when(waits, deciding["src"]).otherwise(F.col("id"))
+        return s.drop("finish", "critical").join(seen, "id", "left").select("id", "duration", "created", "queue", "unknown", new.alias("finish"), critical.alias("critical"))
+
+    def changed(a: DataFrame, b: DataFrame) -> DataFrame:
+        was = a.select("id", F.struct("finish", "critical").alias("was"))
+        return b.join(was, "id").where(~F.col("was").eqNullSafe(F.struct("finish", "critical")))
 
-    return iterate(start, step, rounds).select("id", "finish")
+    return until_still(start.checkpoint(), step, changed, most).select("id", "finish", "critical")
+
+
+def loops(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """The nodes of an event graph that lie on a loop, with the largest node of their loop: id, loop.
+
+    Nodes without a way in or out fall away until none does.  Of the rest each takes the largest id that reaches it; those of
+    one colour that reach back to the node it is named after are its loop (everything that reaches each other), which goes, and the rest begins anew.
+    """
+    left = edges.select("src", "dst").distinct().checkpoint()
+    found = None
+    while not left.isEmpty():
+        left = until_still(left, _trimmed, lambda a, b: a.join(b, ["src", "dst"], "left_anti"), most)
+        if left.isEmpty():
+            break
+        nodes = left.select(F.col("src").alias("id")).distinct()
+
+        def forward(s: DataFrame, left=left) -> DataFrame:
+            came = left.join(s.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
+            return s.join(came, "id", "left").select("id", F.greatest("colour", "c").alias("colour"))
+
+        coloured = until_still(nodes.withColumn("colour", F.col("id")), forward, lambda a, b: b.join(a, ["id", "colour"], "left_anti"), most)
+        same = left.join(coloured.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(coloured.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
+        same = same.select("src", "dst", F.col("c1").alias("loop")).checkpoint()
+
+        def backward(s: DataFrame, same=same) -> DataFrame:
+            return s.union(same.join(s.select(F.col("id").alias("dst"), "loop"), ["dst", "loop"]).select("src", "loop")).distinct()
+
+        roots = coloured.where("id = colour").select("id", F.col("colour").alias("loop"))
+        ring = until_still(roots, backward, lambda a, b: b.join(a, ["id", "loop"], "left_anti"), most)
+        sizes = ring.groupBy("loop").count()
+        alone = edges.where("src = dst").select(F.col("src").alias("loop")).distinct().withColumn("self", F.lit(True))
+        real = sizes.join(alone, "loop", "left").where("count > 1 or self").select("loop")
+        found = ring.join(real, "loop").select("id", "loop") if found is None else found.unionByName(ring.join(real, "loop").select("id", "loop"))
+        gone = ring.select("id")
+        left = left.join(gone, left["src"] == gone["id"], "left_anti").join(gone, left["dst"] == gone["id"], "left_anti").checkpoint()
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("loop")).limit(0) if found is None else found
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Without the links from nodes that have no way in, and to nodes that have no way out."""
+    return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointset.functions.reductions import combine, reduce
+from pointset.functions.scalar import affine
 
 
 def grid(spark: SparkSession, *extents: tuple[int, int]) -> DataFrame:
@@ -17,6 +18,30 @@ def grid(spark: SparkSession, *extents: tuple[int, int]) -> DataFrame:
     return out
 
 
+def region(space: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """A region over a space: its points, and fields (name -> type) that hold nothing yet."""
+    return space.select("*", *[F.lit(None).cast(kind).alias(f) for f, kind in fields.items()])
+
+
+def space_of_rects(spark: SparkSession, rects: list[tuple], disjoint: bool = False) -> DataFrame:
+    """The points p0, p1, ... of rects ((lo0, lo1, ...), (hi0, hi1, ...)) with inclusive bounds."""
+    dims = len(rects[0][0])
+    names = [f"lo{k}" for k in range(dims)] + [f"hi{k}" for k in range(dims)]
+    rows = spark.createDataFrame([(*lo, *hi) for lo, hi in rects], ", ".join(f"{n} long" for n in names))
+    for k in range(dims):
+        rows = rows.where(f"hi{k} >= lo{k}").withColumn(f"p{k}", F.explode(F.sequence(f"lo{k}", f"hi{k}")))
+    rows = rows.drop(*names)
+    return rows if disjoint else rows.distinct()
+
+
+def inline(region: DataFrame, keys: list[str], most: int = 1_000_000) -> dict:
+    """A region's columns as arrays at the driver, in the order of the points; an error beyond ``most`` points."""
+    rows = region.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} points do not belong at the driver")
+    return {c: x.to_numpy() for c, x in rows.sort_values(keys).items()}
+
+
 def space_of_ranges(spark: SparkSession, ranges: list[tuple[int, int]], disjoint: bool = False) -> DataFrame:
     """The points ``pt`` of inclusive ranges."""
     rows = spark.createDataFrame(ranges, "lo long, hi long").where("hi >= lo").select(F.explode(F.sequence("lo", "hi")).alias("pt"))
@@ -71,7 +96,7 @@ def reduction_copy(dst: DataFrame, src: DataFrame, keys: list[str], value: str,
     else:
         inner = op
     part = src.groupBy(*keys).agg(reduce(inner, F.col(value), kind).alias("__r"))
-    return dst.join(part, keys, "left").withColumn(field, combine(op, F.col(field), F.col("__r"))).drop("__r")
+    return dst.join(part, keys, "left").withColumn(field, combine(op, F.col(field), F.col("__r"), kind)).drop("__r")
 
 
 def scatter_reduce(dst: DataFrame, key: str, src: DataFrame, pointer: str, value: str, field: str, op: str, kind: str = "double") -> DataFrame:
@@ -84,6 +109,14 @@ def gather_ranges(ranges: DataFrame, lo: str, hi: str, src: DataFrame, key: str)
     return at.join(src, key)
 
 
+def gather_affine(dst: DataFrame, keys: list[str], matrix: list[list[int]], offset: list[int], src: DataFrame, src_keys: list[str], fields: dict[str, str]) -> DataFrame:
+    """dst[i].field = src[matrix * i + offset].field: indirection without a pointer field; points that lead nowhere get null."""
+    target = affine([F.col(k) for k in keys], matrix, offset)
+    at = dst.select("*", *[c.alias(f"__k{k}") for k, c in enumerate(target)])
+    s = src.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(src_keys)], *[F.col(a).alias(b) for a, b in fields.items()])
+    return at.drop(*fields.values()).join(s, [f"__k{k}" for k in range(len(src_keys))], "left").drop(*[f"__k{k}" for k in range(len(src_keys))])
+
+
 def transpose(region: DataFrame, a: str, b: str) -> DataFrame:
     return region.select([F.col(c).alias({a: b, b: a}.get(c, c)) for c in region.columns])
 

@@ -1,7 +1,7 @@
 """Prefix scans, global numbering and stencils that no single task has to see whole.
 
-A scan is cut into blocks of the order column: a window inside each block, and one number for each block from the blocks
-before it.  Only the table of blocks (``blocks`` for each group) is scanned in order.
+A scan is cut into blocks along the order column, at its approximate quantiles: a window inside each block, and one number
+for each block from the blocks before it.  Only the table of blocks (``blocks`` for each group) is scanned in order.
 """
 
 from __future__ import annotations
@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from pointset.functions.reductions import combine, reduce
 
-BLOCKS = 256
 
+def _blocked(df: DataFrame, order: str, blocks: int | None) -> DataFrame:
+    """``df`` with the number of each row's block; as many blocks as shuffle partitions, a power of two.
 
-def _blocked(df: DataFrame, order: str, blocks: int) -> DataFrame:
-    bounds = F.broadcast(df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi")))  # one row
-    at = F.floor((F.col(order) - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo") + 1).cast("double") * blocks)
-    return df.crossJoin(bounds).withColumn("__block", at.cast("int")).drop("__lo", "__hi")
-
-
-def prefix_scan(df: DataFrame, by: list[str], order: str, value: str, op: str, out: str, forward: bool = True, blocks: int = BLOCKS) -> DataFrame:
+    The cuts are found once, as numbers, so that every use of the plan has the same blocks.
+    """
+    want = blocks or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = min(12, max(1, (want - 1).bit_length()))
+    cuts = df.agg(F.percentile_approx(order, [k / (1 << depth) for k in range(1, 1 << depth)], 8 << depth)).first()[0]
+    out = df.withColumn("__block", F.lit(0))
+    if cuts:
+        known = F.lit(cuts)
+        for k in reversed(range(depth)):  # a binary search for the number of cuts below the value
+            out = out.withColumn("__block", F.col("__block") + F.when(F.get(known, F.col("__block") + (1 << k) - 1) < F.col(order), 1 << k).otherwise(0))
+    return out
+
+
+def prefix_scan(df: DataFrame, by: list[str], order: str, value: str, op: str, out: str, forward: bool = True, blocks: int | None = None) -> DataFrame:
     """``df`` with the running sum, prod, min or max of ``value`` along ``order`` (backward: from the end) within ``by``.
 
     ``order`` is an integer column without ties inside a group.
@@ -35,10 +43,10 @@ def prefix_scan(df: DataFrame, by: list[str], order: str, value: str, op: str, o
     outer = Window.partitionBy(*by).orderBy(F.col("__block").asc() if forward else F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = total.select(*by, "__block", reduce(op, F.col("__total"), kind).over(outer).alias("__before"))
     local = cut.withColumn("__local", reduce(op, F.col(value), kind).over(inner))
-    return local.join(before, [*by, "__block"]).withColumn(out, combine(op, F.col("__before"), F.col("__local"))).drop("__block", "__local", "__before")
+    return local.join(before, [*by, "__block"]).withColumn(out, combine(op, F.col("__before"), F.col("__local"), kind)).drop("__block", "__local", "__before")
 
 
-def numbered(df: DataFrame, order: str, out: str = "rank", first: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def numbered(df: DataFrame, order: str, out: str = "rank", first: int = 0, blocks: int | None = None) -> DataFrame:
     """``df`` with the rank of each row along ``order`` (an integer column without ties), over the whole table."""
     one = df.withColumn("__one", F.lit(1).cast("long"))
     return prefix_scan(one, [], order, "__one", "sum", out, True, blocks).withColumn(out, F.col(out) - 1 + first).drop("__one")
@@ -64,7 +72,8 @@ def stencil_nd(df: DataFrame, keys: list[str], value: str, offsets: list[tuple[t
     return df.join(got, keys, "left")
 
 
-def running(df: DataFrame, by: list[str], order: str, value: Column, out: str) -> DataFrame:
-    """Running sum after all rows with the same order value are added up: one row for each group and order value."""
-    sums = df.groupBy(*by, order).agg(F.sum(value).alias("__v"))
-    return prefix_scan(sums, by, order, "__v", "sum", out).drop("__v")
+def running(df: DataFrame, by: list[str], order: str, value: Column, out: str, change: str = "__v") -> DataFrame:
+    """Running sum after all rows with the same order value are added up: one row for each group and order value, with what it adds in ``change``."""
+    sums = df.groupBy(*by, order).agg(F.sum(value).alias(change))
+    scanned = prefix_scan(sums, by, order, change, "sum", out)
+    return scanned.drop(change) if change == "__v" else scanned

@@ -13,21 +13,10 @@ from pointset.operators import launch as U
 from pointset.operators import partition as D
 from pointset.operators import region as C
 from pointset.operators import scan as W
+from pointset.plans.registry import QUERIES, RECORDS, SQL, cents, checkpoints, query, table
+from pointset.plans.registry import records as _records
 from pointset.sources import tables as T
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict:
     return QUERIES
@@ -37,18 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return SQL
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def micros(c: str):
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
-
-
-def cents(c: str):
-    return F.round(F.col(c) * 100).cast("long")
-
-
 PRICE_SQL = "sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) / 10000.0"
 
 
@@ -109,7 +86,7 @@ def p1(spark, d):
     return packed.where("r.o_orderstatus = 'F'").select("o_orderkey", "r.o_totalprice")
 
 
-@query("p2_arithmetic", "SELECT o_orderkey, (o_custkey - 700) // 1 - CASE WHEN false THEN 1 ELSE 0 END AS shifted, CAST(trunc((o_custkey - 700) / 7.0) AS BIGINT) AS quotient, (o_custkey - 700) % 7 AS remainder, -o_custkey AS negative, 3 * o_custkey + 1 AS sums FROM orders")
+@query("p2_arithmetic", "SELECT o_orderkey, o_custkey - 700 AS shifted, CAST(trunc((o_custkey - 700) / 7.0) AS BIGINT) AS quotient, (o_custkey - 700) % 7 AS remainder, -o_custkey AS negative, 3 * o_custkey + 1 AS sums FROM orders")
 def p2(spark, d):
     x = F.col("o_custkey") - 700
     return table(spark, d, "orders").select("o_orderkey", x.alias("shifted"), S.int_div(x, F.lit(7)).alias("quotient"), (x % 7).alias("remainder"), (-F.col("o_custkey")).alias("negative"), (F.col("o_custkey") * 3 + 1).alias("sums"))
@@ -265,7 +242,7 @@ def d4(spark, d):
     return D.image(_customers(spark, d), "c_custkey", _orders_by_status(spark, d), table(spark, d, "orders"), "o_custkey").df
 
 
-@query("d5_image_range", "SELECT DISTINCT o_orderstatus AS color, p_partkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 4 WHERE o_orderkey % 50 = 0")
+@query("d5_image_range", "SELECT DISTINCT o_orderstatus AS color, p_partkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 4")
 def d5(spark, d):
     return D.image_range(table(spark, d, "part"), "p_partkey", _orders_by_status(spark, d), table(spark, d, "orders"), "o_custkey", F.col("o_custkey") + 4, 8).df
 
@@ -289,7 +266,7 @@ def d9(spark, d):
     return D.preimage(D.by_field(_customers(spark, d), ["c_custkey"], "c_mktsegment"), table(spark, d, "orders"), ["o_orderkey"], "o_custkey").df
 
 
-@query("d10_preimage_range", "SELECT DISTINCT p_brand AS color, o_orderkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 2 WHERE o_orderkey % 20 = 0")
+@query("d10_preimage_range", "SELECT DISTINCT p_brand AS color, o_orderkey FROM orders JOIN part ON p_partkey BETWEEN o_custkey AND o_custkey + 2")
 def d10(spark, d):
     target = D.by_field(table(spark, d, "part"), ["p_partkey"], "p_brand")
     return D.preimage_range(target, table(spark, d, "orders"), ["o_orderkey"], "o_custkey", F.col("o_custkey") + 2, 4).df
@@ -316,11 +293,12 @@ def d14(spark, d):
 
 
 def _two(spark, d):
-    c = _customers(spark, d)
-    return D.by_field(c.where("c_custkey % 2 = 0"), ["c_custkey"], "c_nationkey"), D.by_field(c.where("c_custkey % 3 = 0"), ["c_custkey"], "c_nationkey")
+    """Two partitions of all customers with colors of one scale, by nation and by balance."""
+    c = table(spark, d, "customer")
+    return D.by_field(c, ["c_custkey"], F.col("c_nationkey").cast("long")), D.by_field(c, ["c_custkey"], F.pmod(F.floor(F.col("c_acctbal") / 400), F.lit(25)))
 
 
-TWO = "WITH a AS (SELECT c_nationkey AS color, c_custkey FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_nationkey AS color, c_custkey FROM customer WHERE c_custkey % 3 = 0) "
+TWO = "WITH a AS (SELECT c_nationkey::BIGINT AS color, c_custkey FROM customer), b AS (SELECT ((floor(c_acctbal / 400)::BIGINT % 25) + 25) % 25 AS color, c_custkey FROM customer) "
 
 
 @query("d16_union", TWO + "SELECT * FROM a UNION SELECT * FROM b")
@@ -341,7 +319,7 @@ def d18(spark, d):
     return a.minus(b).df
 
 
-@query("d19_mirror", "SELECT c_nationkey AS color, c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment = 'BUILDING'")
+@query("d19_mirror", "SELECT c_nationkey::BIGINT AS color, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def d19(spark, d):
     return _two(spark, d)[0].mirror(_customers(spark, d).where("c_mktsegment = 'BUILDING'")).df
 
@@ -444,7 +422,21 @@ def a_long(spark, d):
 
 @query("a3_prod", "SELECT l_orderkey AS color, product(l_linenumber)::BIGINT AS p FROM lineitem GROUP BY 1")
 def a3(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("color")).agg(R.reduce("prod", F.col("l_linenumber"), "long").alias("p"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("color"), F.col("l_linenumber").cast("long").alias("p"))
+    product = lambda part: part.groupby("color", as_index=False)["p"].prod()
+    return U.reduce_by_task(rows, ["color"], product, product, "p long")
+
+
+@query("a3_prod_double", "SELECT o_custkey AS color, round(product(1 + o_orderkey % 7 / 10.0), 6)::DOUBLE AS p FROM orders GROUP BY 1")
+def a3d(spark, d):
+    x = 1 + F.col("o_orderkey") % 7 / 10.0
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("color")).agg(F.round(R.reduce("prod", x), 6).alias("p"))
+
+
+@query("a4_div", "SELECT o_custkey AS color, trunc(1000000000000 / product(o_orderkey % 3 + 1)::DOUBLE)::BIGINT AS whole, round(1000.0 / product(1 + o_orderkey % 5 / 100.0), 6)::DOUBLE AS part FROM orders GROUP BY 1")
+def a4(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("color")).agg(R.reduce("div", k % 3 + 1, "long", F.lit(1_000_000_000_000)).alias("whole"), F.round(R.reduce("div", 1 + k % 5 / 100.0, "double", F.lit(1000.0)), 6).alias("part"))
 
 
 @query("a5_nan", "SELECT c_nationkey AS color, max(c_acctbal) AS mx, min(c_acctbal) AS mn FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1")
@@ -459,10 +451,15 @@ def a7(spark, d):
     return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("color")).agg(R.reduce("or", b > 9900, "boolean").alias("o"), R.reduce("and", b > -900, "boolean").alias("a"), R.reduce("xor", b > 0, "boolean").alias("x"))
 
 
+def _energy(part):
+    part = part.assign(energy=part["energy"] if "energy" in part else part["x"] ** 2, top=part["top"] if "top" in part else part["x"])
+    return part.groupby("color", as_index=False).agg(energy=("energy", "sum"), top=("top", "max"))
+
+
 @query("a10_user_reduction", "SELECT l_suppkey AS color, sum(l_linenumber * l_linenumber)::BIGINT AS energy, max(l_linenumber)::BIGINT AS top FROM lineitem GROUP BY 1")
 def a10(spark, d):
-    state = F.aggregate(F.collect_list(F.col("l_linenumber").cast("long")), F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("t")), lambda a, x: F.struct((a["e"] + x * x).alias("e"), F.greatest(a["t"], x).alias("t")))
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("color")).agg(state.alias("s")).select("color", F.col("s.e").alias("energy"), F.col("s.t").alias("top"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("color"), F.col("l_linenumber").cast("long").alias("x"))
+    return U.reduce_by_task(rows, ["color"], _energy, _energy, "energy long, top long")
 
 
 @query("a12_reduce_futures", "SELECT max(n) AS value FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -557,14 +554,6 @@ def u8(spark, d):
 
 
 # interval analytics
-RECORDS = "records AS (SELECT event_id AS id, event_type AS kind, user_id % 8 AS proc, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + 1 + event_id * 7919 % 5000 AS stop FROM events) "
-
-
-def _records(spark, d):
-    start = F.floor(micros("ts") / 1000000)
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.col("user_id") % 8).alias("proc"), start.alias("start"), (start + 1 + F.col("event_id") * 7919 % 5000).alias("stop"))
-
-
 @query("l2_statistics", "WITH " + RECORDS + "SELECT kind, count(*) AS invocations, sum(stop - start)::BIGINT AS total, sum(stop - start - id % 2)::BIGINT AS running, min(stop - start - id % 2) AS least, max(stop - start - id % 2) AS most, round(avg(stop - start - id % 2), 4) AS mean, round(coalesce(stddev_samp(stop - start - id % 2), 0), 4) AS deviation FROM records GROUP BY 1")
 def l2(spark, d):
     r = _records(spark, d)
@@ -584,16 +573,16 @@ def l3(spark, d):
 per AS (SELECT proc % 2 AS node, t, sum(w) AS w FROM edge GROUP BY ALL)
 SELECT node, t, sum(w) OVER (PARTITION BY node ORDER BY t) / 4.0 AS busy_share FROM per""")
 def l3u(spark, d):
+    checkpoints(spark)
     r = _records(spark, d).withColumn("node", F.col("proc") % 2)
     return L.utilization(r, ["node"], "proc", r.select("node", "proc").distinct().groupBy("node").agg(F.lit(4.0).alias("n_members")))
 
 
-@query("l5_resample", "WITH " + RECORDS + """, b AS (SELECT min(start) AS lo, 50000 AS width FROM records)
-SELECT proc, bucket, round(sum(least(stop, lo + (bucket + 1) * width) - greatest(start, lo + bucket * width)) / 50000.0, 6) AS mean FROM records, b, range(20) t(bucket) WHERE start < lo + (bucket + 1) * width AND stop > lo + bucket * width GROUP BY ALL""")
+@query("l5_resample", "WITH " + RECORDS + """, b AS (SELECT min(start) AS lo, (max(stop) - min(start) + 19) // 20 AS width FROM records)
+SELECT proc, bucket, round(sum(least(stop, lo + (bucket + 1) * width) - greatest(start, lo + bucket * width)) / max(width)::DOUBLE, 6) AS mean FROM records, b, range(20) t(bucket) WHERE start < lo + (bucket + 1) * width AND stop > lo + bucket * width GROUP BY ALL""")
 def l5(spark, d):
     r = _records(spark, d)
-    lo, hi = r.agg(F.min("start"), F.max("stop")).first()
-    return L.resample(r, ["proc"], lo, hi, 20).withColumn("mean", F.round("mean", 6))
+    return L.resample(r, ["proc"], L.span(r), 20).withColumn("mean", F.round("mean", 6))
 
 
 @query("l6_peak", "WITH " + RECORDS + ", " + STEP_SQL + "SELECT proc, max(level)::BIGINT AS max_levels FROM lev GROUP BY 1")
@@ -609,8 +598,8 @@ def l6l(spark, d):
 @query("l7_trim", "WITH " + RECORDS + ", b AS (SELECT min(start) + 100000 AS lo FROM records) SELECT id, greatest(start, lo) AS start, least(stop, lo + 400000) AS stop FROM records, b WHERE start < lo + 400000 AND stop > lo")
 def l7(spark, d):
     r = _records(spark, d)
-    lo = r.agg(F.min("start")).first()[0] + 100000
-    return L.trim(r, lo, lo + 400000).select("id", "start", "stop")
+    window = L.span(r).select((F.col("first") + 100000).alias("first"), (F.col("first") + 500000).alias("last"))
+    return L.trim(r, window).select("id", "start", "stop")
 
 
 @query("l8_visible", "WITH " + RECORDS + "SELECT id, proc FROM records WHERE proc IN (1, 4)")
@@ -626,14 +615,23 @@ def l9(spark, d):
 
 
 @query("l10_critical_path", """WITH RECURSIVE deps AS (SELECT n_nationkey AS src, n_nationkey * 2 + 1 AS dst FROM nation WHERE n_nationkey * 2 + 1 < 25 UNION ALL SELECT n_nationkey, n_nationkey * 2 + 2 FROM nation WHERE n_nationkey * 2 + 2 < 25 UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey + 1 < 25),
-walk AS (SELECT n_nationkey AS id, n_nationkey % 5 + 1 AS finish FROM nation UNION SELECT dst, finish + dst % 5 + 1 FROM walk JOIN deps ON src = id)
-SELECT id::INTEGER AS id, max(finish)::INTEGER AS finish FROM walk GROUP BY 1""")
+walk AS (SELECT n_nationkey AS id, n_nationkey % 5 + 1 AS finish FROM nation UNION SELECT dst, finish + dst % 5 + 1 FROM walk JOIN deps ON src = id),
+best AS (SELECT id, max(finish) AS finish FROM walk GROUP BY 1)
+SELECT id::BIGINT AS id, finish::BIGINT AS finish, coalesce((SELECT arg_max(b.id, b.finish * 1000 + b.id) FROM deps JOIN best b ON b.id = src WHERE dst = best.id), id)::BIGINT AS critical FROM best""")
 def l10(spark, d):
-    _checkpoints(spark)
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 + 1).alias("duration"))
+    checkpoints(spark)
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") % 5 + 1).cast("long").alias("duration"))
     k = F.col("id")
     e = n.select(k.alias("src"), F.explode(F.array_distinct(F.array(k * 2 + 1, k * 2 + 2, k + 1))).alias("dst")).where("dst < 25")
-    return L.critical_path(n, e, 25)
+    return L.critical_path(n, e)
+
+
+@query("l10_order_chains", "SELECT o_orderkey AS id, sum(o_orderkey % 5 + 1) OVER w::BIGINT AS finish, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), o_orderkey) AS critical FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def l10o(spark, d):
+    checkpoints(spark)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.col("o_orderkey") % 5 + 1).alias("duration"))
+    e = o.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("o_custkey").orderBy("id")).alias("dst")).where("dst is not null")
+    return L.critical_path(o.drop("o_custkey"), e)
 
 
 @query("l11_executing_at", "WITH " + RECORDS + ", q AS (SELECT min(start) + i * 100003 AS t FROM records, range(40) u(i) GROUP BY i) SELECT t, max_by(id, start * 10000000 + id) AS id FROM q JOIN records ON start <= t AND t < stop GROUP BY t")
@@ -656,13 +654,6 @@ def l14(spark, d):
 
 
 # iterative workloads
-def _checkpoints(spark):
-    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointset-"))
-
-
 def _trade(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
     edges = li.unionAll(li.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -681,30 +672,39 @@ def _rank_sql(rounds):
 
 @query("g1_pagerank", _rank_sql(5))
 def g1(spark, d):
-    _checkpoints(spark)
+    checkpoints(spark)
     return G.pagerank(*_trade(spark, d), rounds=5).withColumn("score", F.round("score", 9))
 
 
-@query("g2_shortest_paths", "WITH RECURSIVE " + TRADE + ", walk AS (SELECT id, 0 AS distance FROM nodes WHERE id IN (0, 3) UNION SELECT dst, distance + (src + dst) % 7 + 1 FROM walk JOIN edges ON src = id WHERE false), " + ", ".join(f"b{k} AS (SELECT n.id, least(o.distance, m.m) AS distance FROM nodes n LEFT JOIN b{k - 1} o ON o.id = n.id LEFT JOIN (SELECT dst, min(distance + (src + dst) % 7 + 1) AS m FROM edges JOIN b{k - 1} ON src = id WHERE distance IS NOT NULL GROUP BY 1) m ON m.dst = n.id)" if k else "b0 AS (SELECT id, CASE WHEN id IN (0, 3) THEN 0 END AS distance FROM nodes)" for k in range(4)) + " SELECT id, distance::BIGINT AS distance FROM b3")
+@query("g2_shortest_paths", "WITH " + TRADE + "," + ", ".join(f"b{k} AS (SELECT n.id, least(o.distance, m.m) AS distance FROM nodes n LEFT JOIN b{k - 1} o ON o.id = n.id LEFT JOIN (SELECT dst, min(distance + (src + dst) % 7 + 1) AS m FROM edges JOIN b{k - 1} ON src = id WHERE distance IS NOT NULL GROUP BY 1) m ON m.dst = n.id)" if k else "b0 AS (SELECT id, CASE WHEN id IN (0, 3) THEN 0 END AS distance FROM nodes)" for k in range(8)) + " SELECT id, distance::BIGINT AS distance FROM b7")
 def g2(spark, d):
-    _checkpoints(spark)
+    checkpoints(spark)
     nodes, edges = _trade(spark, d)
     return G.shortest_paths(nodes, edges.withColumn("cost", (F.col("src") + F.col("dst")) % 7 + 1), nodes.where("id in (0, 3)"))
 
 
-@query("g3_circuit")
+def _circuit_sql(rounds):
+    out = "WITH li AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), wires AS (SELECT DISTINCT src, dst FROM li UNION SELECT DISTINCT dst, src FROM li WHERE dst < src), w AS (SELECT * FROM wires WHERE src < dst), v0 AS (SELECT id, (id % 13)::DOUBLE AS v FROM (SELECT src AS id FROM li UNION SELECT dst FROM li))"
+    for k in range(rounds):
+        out += f", i{k} AS (SELECT src, dst, (a.v - b.v) / 2.0 * 1e-3 AS q FROM w JOIN v{k} a ON src = a.id JOIN v{k} b ON dst = b.id), v{k + 1} AS (SELECT id, v + coalesce(s, 0) AS v FROM v{k} LEFT JOIN (SELECT id AS node, sum(q) AS s FROM (SELECT src AS id, -q AS q FROM i{k} UNION ALL SELECT dst, q FROM i{k}) GROUP BY 1) ON node = id)"
+    return out + f" SELECT id, 1.0::DOUBLE AS capacity, round(v, 6) AS voltage FROM v{rounds}"
+
+
+@query("g3_circuit", _circuit_sql(3))
 def g3(spark, d):
-    _checkpoints(spark)
+    checkpoints(spark)
     nodes, edges = _trade(spark, d)
     n = nodes.select("id", F.lit(1.0).alias("capacity"), (F.col("id") % 13).cast("double").alias("voltage"))
-    return G.circuit(n, edges.where("src < dst").withColumn("resistance", F.lit(2.0)), 3)
+    return G.circuit(n, edges.where("src < dst").withColumn("resistance", F.lit(2.0)), 3).withColumn("voltage", F.round("voltage", 6))
 
 
-@query("g4_star_stencil")
+@query("g4_star_stencil", """WITH g AS (SELECT a, b FROM range(50) t(a), range(50) u(b)), s AS (SELECT unnest([-2, -1, 1, 2]) AS d),
+n AS (SELECT a, b, sum((a + b + d + r) / (4.0 * d)) AS s FROM g, s, range(3) k(r) WHERE a + d BETWEEN 0 AND 49 GROUP BY ALL UNION ALL SELECT a, b, sum((a + b + d + r) / (4.0 * d)) FROM g, s, range(3) k(r) WHERE b + d BETWEEN 0 AND 49 GROUP BY ALL)
+SELECT a AS p0, b AS p1, (a + b + 3)::DOUBLE AS input, round(sum(s), 8)::DOUBLE AS output FROM n GROUP BY ALL""")
 def g4(spark, d):
-    _checkpoints(spark)
+    checkpoints(spark)
     g = C.grid(spark, (0, 49), (0, 49)).select("p0", "p1", (F.col("p0") + F.col("p1")).cast("double").alias("input"), F.lit(0.0).alias("output"))
-    return G.star_stencil(g, 3, 2)
+    return G.star_stencil(g, 3, 2).withColumn("output", F.round("output", 8))
 
 
 @query("g7_sparse_product", "SELECT l_orderkey AS row, CAST(sum(l_quantity * p_size) AS DOUBLE) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -728,3 +728,6 @@ def g9(spark, d):
 def g10(spark, d):
     p = table(spark, d, "orders").select(F.col("o_custkey").alias("px"), F.col("o_orderkey").alias("py"), (F.col("o_orderkey") % 5).cast("double").alias("charge"))
     return G.deposit(p.withColumn("py", F.col("py") / 8), 64.0, ("px", "py"))
+
+
+from pointset.plans import files, grids, numbers, workloads  # noqa: E402, F401 - they add their queries
