@@ -57,25 +57,29 @@ def printed(sketch: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, text: str, carried: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with next_text and next_carried of the row that follows in the order of (key, text); after the last the first.
+    """``df`` with next_text and next_carried of the row that follows in the order of (key, hash of the text, text); after the last the first.
 
-    Rows are dealt into ranges of the key at approximate quantiles; a row's successor is in its range, or the first row of
+    Rows are dealt into ranges of the key at approximate quantiles, and rows of a key that makes several quantiles into as
+    many ranges of the hash; a row's successor is in its range, or the first row of
     the next range that has one.  So no task sees more than a range, and the ranges' first rows are all that is global.
     """
     n = ranges or 4 * partitions(df.sparkSession)
     cuts = df.select(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    number = F.lit(0)
-    if cuts:
-        number = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key)))
-    rows = df.withColumn("range", number)
-    own = Window.partitionBy("range").orderBy(key, text)
+    often = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1}
+    tie = F.xxhash64(text)
+    number = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    if often:  # such a key is the first of its range
+        width = max(often.values()) + 1
+        own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in often.items() for x in pair]), F.col(key)), F.lit(0))
+        number = number * width + F.when(own > 0, F.floor(F.shiftrightunsigned(tie, 11) / float(1 << 53) * own)).otherwise(width - 1)
+    rows = df.withColumn("range", number.cast("long")).withColumn("tie", tie)
+    own = Window.partitionBy("range").orderBy(key, F.shiftrightunsigned("tie", 1), "tie", text)
     inside = rows.withColumn("after", F.lead(F.struct(text, carried)).over(own))
-    firsts = rows.groupBy("range").agg(F.min(F.struct(key, text, carried)).alias("f")).select("range", F.struct(F.col(f"f.{text}").alias(text), F.col(f"f.{carried}").alias(carried)).alias("f"))
-    every = Window.orderBy("range")  # one row a range: at most ``ranges`` rows
+    firsts = rows.groupBy("range").agg(F.min(F.struct(key, F.shiftrightunsigned("tie", 1).alias("high"), "tie", text, carried)).alias("f")).select("range", F.struct(F.col(f"f.{text}").alias(text), F.col(f"f.{carried}").alias(carried)).alias("f"))
+    every = Window.orderBy("range")  # one row a range: at most twice ``ranges`` rows
     follows = firsts.withColumn("follow", F.coalesce(F.lead("f").over(every), F.first("f").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("range", "follow")
     joined = inside.join(follows, "range").withColumn("after", F.coalesce("after", "follow"))
-    return joined.withColumn("next_text", F.col(f"after.{text}")).withColumn("next_carried", F.col(f"after.{carried}")).drop("range", "after", "follow")
+    return joined.withColumn("next_text", F.col(f"after.{text}")).withColumn("next_carried", F.col(f"after.{carried}")).drop("range", "tie", "after", "follow")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, fraction: int = 8) -> DataFrame:

@@ -96,6 +96,22 @@ def test_place(spark):
     assert all(len(x) == 1 for x in shards.values())
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    """All rows once, equal keys in one shard, shards in several files; names of columns may clash but for the partition's own."""
+    rows = [(k % 50 if k % 3 else 7, k, f"t{k}") for k in range(3000)] + [(None, -1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, slot long, text string")
+    sharding.write_shards(df, "doc_id", str(tmp_path / "out"), shards=4, slots=101, splits=3)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["slot"], r["text"] or "") for r in back if r["doc_id"] is not None) == sorted((False, k, s, t) for k, s, t in rows if k is not None)
+    assert len(back) == len(rows)
+    shards = defaultdict(set)
+    for r in back:
+        shards[r["doc_id"]].add(r["shard"])
+    assert all(len(x) == 1 for x in shards.values()) and len(set().union(*shards.values())) == 4
+    hot = shards[7].pop()
+    assert 1 < len(list((tmp_path / "out" / f"shard={hot}").glob("*.parquet"))) <= 3
+
+
 # --- substring removal --------------------------------------------------------------------------------------------------
 
 
@@ -233,6 +249,76 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert left == {k for k, _ in texts} - {k for k, _ in found}
 
 
+@pytest.mark.parametrize("size", [5, 8, 12, 16, 24, 60])
+def test_recall_at_twenty_percent_of_edits(size):
+    """Of items with the most edits that count, substitutions or all kinds, at least nine of ten are found."""
+    rng = random.Random(size)
+    items = [(k, np.array([rng.getrandbits(63) for _ in range(size)], np.uint64)) for k in range(200)]
+    index = decontamination.ItemIndex(items, 6, 6)
+    texts, planted = [], set()
+    for k, (_, own) in enumerate(items):
+        own = own.tolist()
+        for at in sorted(rng.sample(range(size), int(0.2 * size)), reverse=True):
+            kind = rng.randrange(3) if k % 2 else 0
+            new = rng.getrandbits(63)
+            own[at : at + 1] = [[new], [], [own[at], new]][kind]
+        text = [rng.getrandbits(63) for _ in range(rng.randrange(5, 60))]
+        place = rng.randrange(len(text))
+        texts.append(text[:place] + own + text[place:])
+        planted.add((k, k))
+    words, at = np.array([w for t in texts for w in t], np.uint64), np.cumsum([0, *map(len, texts)])
+    found = {(t, i) for t, i, *_ in index.verify(words, at, index.candidates(words, at), 0.2)}
+    assert found <= planted and len(found) >= 0.9 * len(planted)
+
+
+def brute_leaks(rows, items, max_edits=0.2):
+    """Every document against every item: the least edit distance of the item to any run of the document's words."""
+    import re
+
+    def words(t):
+        return re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[0-9a-z\u0080-\u2fff]+", (t or "").lower())
+
+    out = {}
+    for doc, text in rows:
+        part = words(text)
+        for item, own_text in items:
+            own = words(own_text)
+            most = int(max_edits * len(own)) if len(own) >= 5 else 0
+            row = [0] * (len(part) + 1)
+            for i, w in enumerate(own, 1):
+                new = [i]
+                for j, p in enumerate(part, 1):
+                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != p)))
+                row = new
+            if own and min(row) <= most:
+                out[doc, item] = min(row)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """No leak that is not one, all exact copies, and nine of ten of the edited ones; short items and scripts without spaces as well."""
+    rng = random.Random(31)
+    items = [(k, prose(rng, n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 9, 12, 15, 24, 40, 59] * 2)] + [(50, "日本語の問題はここにあります"), (51, "東京 都")]
+    rows = []
+    for k in range(160):
+        text = prose(rng, rng.randrange(0, 60)).split(" ")
+        if k % 2:
+            own = near(rng, rng.choice(items)[1], rng.choice([0, 0, 0.1, 0.2])).split(" ")
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = own
+        rows.append((k, " ".join(text)))
+    rows += [(200, "前の文。日本語の問題はここにあります。次の文"), (201, None), (202, items[0][1]), (203, items[3][1])]
+    want = brute_leaks(rows, items)
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_key"], r["item_key"]): r["edits"] for r in decontamination.find_leaks(d, bench, block_items=10).collect()}
+    assert found.keys() <= want.keys() and all(want[k] <= found[k] for k in found)
+    assert {k for k, e in want.items() if e == 0} <= found.keys() and len(found) >= 0.9 * len(want)
+    sizes = {i: len(t.split(" ")) for i, t in items[:24]}
+    left = {r["doc_id"] for r in decontamination.without_leaks(d, bench).collect()}
+    short_only = {doc for doc, _ in want} - {doc for doc, item in want if sizes.get(item, 9) >= 5} - {202, 203}
+    assert short_only and short_only <= left and not left & {200, 202, 203}  # a phrase in a document is no leak, a document of nothing else is
+
+
 def test_nearest_part():
     import numpy as np
 
@@ -370,6 +456,75 @@ def test_edited_texts_and_equal_fingerprints(docs, rows):
     assert all(len(x) == 1 for x in prints.values())
 
 
+def brute_sketch(spark, texts, words=5, fraction=8):
+    """Shingles of lower-case words as tuples of their hashes, and of those the hashes that are low, and the least."""
+    lists = [[w for w in t.lower().split() if w] for t in texts]
+    rows = spark.createDataFrame([(w,) for w in sorted({w for x in lists for w in x})], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    h = {r["w"]: r["h"] for r in rows}
+    shingles = sorted({tuple(h[w] for w in x[k : k + words]) for x in lists for k in range(len(x) - words + 1)})
+    hashed = spark.createDataFrame([(list(x),) for x in shingles], "x array<long>").select("x", F.xxhash64(*[F.get("x", k) for k in range(words)]).alias("h")).collect()
+    of = {tuple(r["x"]): r["h"] for r in hashed}
+    out = []
+    for x in lists:
+        every = {of[tuple(h[w] for w in x[k : k + words])] for k in range(len(x) - words + 1)}
+        out.append({v for v in every if v < -(1 << 63) + (1 << 64) // fraction} | ({min(every)} if every else set()))
+    return out
+
+
+def test_likeness_is_that_of_the_sketches(spark):
+    """near_edited and near_next against sketches made by hand; texts of at least five words."""
+    rng = random.Random(21)
+    base = [prose(rng, rng.randrange(6, 300)) for _ in range(12)]
+    texts = [rng.choice([t, near(rng, t, 0.1)]) for t in base for _ in range(3)]
+    edited = []
+    for k, t in enumerate(texts):
+        half, after = len(t) // 2, texts[(k + 1) % len(texts)]
+        edited.append(t[: len(t) - half] + after[:half])
+    assert all(len(t.split()) >= 5 for t in edited)
+    sketch, other = brute_sketch(spark, texts), brute_sketch(spark, edited)
+    found = keyed(fingerprints.compare_with_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    alike = lambda a, b: len(a & b) / len(a | b)
+    for k in range(len(texts)):
+        after = sketch[(k + 1) % len(texts)]
+        assert set(map(int, found[k]["fingerprint"].split(","))) == sketch[k]
+        assert set(map(int, found[k]["edited_fingerprint"].split(","))) == other[k]
+        assert found[k]["near_edited"] == pytest.approx(alike(sketch[k], other[k]))
+        assert found[k]["near_next"] == pytest.approx(alike(sketch[k], after))
+        assert found[k]["contained_in_next"] == pytest.approx(len(sketch[k] & after) / len(sketch[k]))
+
+
+def test_sketches_merge_and_tell_containment(spark):
+    rng = random.Random(22)
+    long, other = prose(rng, 4000), prose(rng, 3000)
+    part = " ".join(long.split(" ")[500:1300])
+    rows = spark.createDataFrame([(1, long), (2, part), (3, other), (4, long + " " + other), (5, "")], "doc_id long, text string")
+    s = {r["doc_key"]: r["sketch"] for r in fingerprints.fingerprint(rows).collect()}
+    pairs = spark.createDataFrame([(s[2], s[1], s[3], s[5])], "part array<long>, whole array<long>, other array<long>, none array<long>")
+    a, b, c, e = (F.col(x) for x in ("part", "whole", "other", "none"))
+    r = pairs.select(fingerprints.containment(a, b), fingerprints.containment(b, a), fingerprints.containment(a, c), fingerprints.containment(e, a), fingerprints.similarity(e, e), fingerprints.similarity(e, a), fingerprints.merged(b, c)).first()
+    assert r[0] == 1.0 and abs(r[1] - 0.2) < 0.05 and r[2] == 0.0 and tuple(r[3:6]) == (1.0, 1.0, 0.0)
+    assert r[6] == sorted(set(s[1]) | set(s[3])) and len(set(s[4]) ^ set(r[6])) <= 6  # shingles across the seam, and smallest hashes
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_successors_among_rows_of_one_id(spark, ranges):
+    """Rows that share an id are dealt by their texts; every row has one successor, and all are one round."""
+    rows = [(7 if k % 3 else k, f"text {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, t string").withColumn("s", F.col("t"))
+    found = fingerprints.with_next(df, "k", "t", "s", ranges).collect()
+    follow = {r["t"]: r["next_text"] for r in found}
+    assert all(r["next_text"] == r["next_carried"] for r in found)
+    at, seen = "text 0", []
+    for _ in range(len(rows)):
+        seen.append(at)
+        at = follow[at]
+    assert at == "text 0" and len(set(seen)) == len(rows)
+    key = dict((t, k) for k, t in rows)
+    order = [key[t] for t in seen]
+    cut = order.index(min(order))
+    assert order[cut:] + order[:cut] == sorted(order)
+
+
 def test_sketch_estimates_jaccard(spark):
     rng = random.Random(5)
     a = prose(rng, 4000)

@@ -46,3 +46,54 @@ def test_planted_cases(spark):
     assert 4 not in {r["doc_id"] for r in stages["decontamination"](spark, docs, SF).collect()}
     cut = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, docs, SF).collect()}
     assert cut[1] == a["text"] and cut[2] == "" and cut[4].endswith(item)
+
+
+def stage_by_stage(spark, docs):
+    """What each stage leaves, and the packed rows."""
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        left[name] = rows
+        docs = spark.createDataFrame(rows, out.schema)
+    return left
+
+
+def test_an_empty_table(spark):
+    left = stage_by_stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0))
+    assert all(rows == [] for rows in left.values())
+
+
+def test_odd_rows_and_more_columns(spark):
+    """Rows without id, unlike rows of one id, rows that repeat, no text, no letters, a very long text; columns named like ours."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    real = [r.asDict() for r in source.where("lang is not null and n_chars between 900 and 3000").orderBy("doc_id").collect()]
+    unlike, seen = [], set()
+    for r in real:  # texts without a common beginning: no copies of each other
+        if r["text"][:40] not in seen and len(unlike) < 60:
+            seen.add(r["text"][:40])
+            unlike.append(r)
+    ids = {0: None, 1: None, 2: 70, 3: 70}
+    rows = [r | {"doc_id": ids.get(k, 1000 + k)} for k, r in enumerate(unlike)]
+    long = " ".join(f"{w}{k}" for k in range(40_000) for w in ("word", "and", "the"))
+    base = unlike[0]
+    rows += [base | {"doc_id": 9000, "text": None}, base | {"doc_id": 9001, "text": ""}, base | {"doc_id": 9002, "text": "12 -- 34"}, base | {"doc_id": 9003, "text": long}, rows[5], rows[5]]
+    more = ["row", "doc_key", "score", "spans", "__text", "bucket"]
+    schema = source.schema
+    for c in more:
+        schema = schema.add(c, "string")
+    docs = spark.createDataFrame([tuple(r[f] for f in source.columns) + tuple(more) for r in rows], schema)
+    left = stage_by_stage(spark, docs)
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert left[name] and all(r.asDict().keys() == set(schema.names) and r["row"] == "row" for r in left[name]), name
+    texts = [r["text"] for r in left["near_duplicates"]]
+    assert len(texts) == len(set(texts))  # copies went
+    kept = {(r["doc_id"], r["text"]) for r in left["near_duplicates"]}
+    clean = {(r["doc_id"], r["text"]) for r in rows[:4]} & {(r["doc_id"], r["text"]) for r in left["language_id"]}
+    assert len(clean) >= 3
+    import difflib
+
+    unrelated = {c for c in clean if all(t == c[1] or difflib.SequenceMatcher(None, c[1], t, autojunk=False).quick_ratio() < 0.97 for _, t in clean)}
+    assert unrelated <= kept
+    assert not {9000, 9001, 9002} & {r["doc_id"] for r in left["language_id"]}
+    assert {r["doc_id"] for r in left["packing"]} == {r["doc_id"] for r in left["decontamination"]}
