@@ -10,7 +10,8 @@ How it runs on Spark
    are equal.  A document sends the fingerprint of each part, and of its parts in the next class if a partner can be
    there; empty parts only if it has k - H of them.  Of parts that a pair shares at least, all but one are spared: in one
    order of all parts, by size, each document leaves out so many of its smallest.  Equal part fingerprints make candidate links to the smallest id of
-   their group: a star, never all pairs.  Within a map batch equal sets and equal parts collapse first.
+   their group: a star, never all pairs.  Within a map batch equal sets and equal parts collapse first, so of copies a bucket
+   sees one for each batch, and of empty sets none.
 2. *Blocks.*  Candidate links whose bitmaps rule the similarity out go; components of the others are blocks.  A
    block's sets are gathered in chunks of bounded size, each with the block's first document.
 3. *Signature trees.*  A chunk's documents become a tree: nodes hold the OR of their token bitmaps, their size range, and
@@ -143,6 +144,7 @@ class Routing:
 
 IDENTITY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("n", "<i8")])
 KEY = np.dtype([("key", "<u8"), ("doc", "<i8")])
+COPY = np.dtype([("doc", "<i8"), ("centre", "<i8"), ("n", "<i8")])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -175,8 +177,21 @@ def stars(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[first], np.unique(links[links[:, 0] != links[:, 1]], axis=0), shared
 
 
+def without_copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of each set of a batch; and the others with that id, and empty sets with their own."""
+    x = x[np.lexsort((x["doc"], x["b"], x["a"]))]
+    first = np.ones(len(x), bool)
+    first[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
+    first |= x["n"] == 0
+    centre = x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(x) else x["doc"]
+    sent = first & (x["n"] > 0)
+    copies = np.empty(int((~sent).sum()), COPY)
+    copies["doc"], copies["centre"], copies["n"] = x["doc"][~sent], centre[~sent], x["n"][~sent]
+    return x[sent], copies
+
+
 def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 2000, shingles: int = 1 << 19):
-    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("keys", pa.binary()), ("shared", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("copies", pa.binary()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def send(found: list[tuple[int, np.ndarray]], routing: Routing) -> pa.RecordBatch:
         identity, keys, seen = np.empty(len(found), IDENTITY), [], {}
@@ -192,10 +207,11 @@ def _route(words: int, similar: tuple[int, int], buckets: int, docs: int = 2000,
             keys.append(np.empty(len(k), KEY))
             keys[-1]["key"], keys[-1]["doc"] = k, doc
         centres, _, shared = stars(np.concatenate(keys) if keys else np.zeros(0, KEY))
+        identity, copies = without_copies(identity)
         by_set, set_cuts = split_by((identity["a"] >> np.uint64(20)) % np.uint64(buckets), buckets)
         by_key, key_cuts = split_by((centres["key"] >> np.uint64(20)) % np.uint64(buckets), buckets)
         identity, centres, shares = identity[by_set], centres[by_key], [shared[(shared["key"] >> np.uint64(20)) % np.uint64(buckets) == b] for b in range(buckets)]
-        return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([_pack(identity[set_cuts[b] : set_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(centres[key_cuts[b] : key_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(x) for x in shares], pa.binary())], schema=schema)
+        return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([_pack(identity[set_cuts[b] : set_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(x) for x in np.array_split(copies, buckets)], pa.binary()), pa.array([_pack(centres[key_cuts[b] : key_cuts[b + 1]]) for b in range(buckets)], pa.binary()), pa.array([_pack(x) for x in shares], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         routing, found, held = Routing(similar), [], 0
@@ -236,9 +252,11 @@ PIECES = 8
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: each document, the smallest id with the same set, and the set's size; kind 1: candidate links; kind 2: parts (u) and the documents that share them (v)."""
+    """kind 0: a document of each set of a batch, the smallest id with the same set, and the set's size; kind 3: the batch's other documents and that document; kind 1: candidate links; kind 2: parts (u) and the documents that share them (v)."""
     sets, pieces = [], [[] for _ in range(PIECES)]
     for batch in batches:
+        copies = _unpack(batch.column("copies").to_pylist(), COPY)
+        yield _routed(3, copies["doc"], copies["centre"], copies["n"])
         sets.append(_unpack(batch.column("sets").to_pylist(), IDENTITY))
         for column in ("keys", "shared"):
             keys = _unpack(batch.column(column).to_pylist(), KEY)
@@ -252,7 +270,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     x = x[np.lexsort((x["doc"], x["b"], x["a"]))]
     first = np.ones(len(x), bool)
     first[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
-    first |= x["n"] == 0
     yield _routed(0, x["doc"], x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(x) else x["doc"], x["n"])
     del x
     found, known = [], np.zeros(0, np.uint64)
@@ -535,8 +552,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs: int, chunk_shingles: int, scratch: Scratch) -> DataFrame:
     n = partitions(scratch.spark)
-    routed = scratch.written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, keys binary, shared binary").repartitionById(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
-    rows = routed.where("kind = 0").select(F.col("u").alias("doc_key"), F.col("v").alias("rep"), F.col("n").alias("n_shingles"))
+    routed = scratch.written(texts.mapInArrow(_route(words, similar, n), "bucket int, sets binary, copies binary, keys binary, shared binary").repartitionById(n, "bucket").mapInArrow(_meet, ROUTED), "routed")
+    own = routed.where("kind = 0").select(F.col("u").alias("doc_key"), F.col("v").alias("rep"), F.col("n").alias("n_shingles"))
+    copies = routed.where("kind = 3").join(own.groupBy(F.col("doc_key").alias("v")).agg(F.min("rep").alias("rep")), "v", "left").select(F.col("u").alias("doc_key"), F.coalesce("rep", "v").alias("rep"), F.col("n").alias("n_shingles"))
+    rows = scratch.written(own.unionByName(copies), "rows")
     reps = rows.groupBy("doc_key").agg(F.min("rep").alias("rep"))
     rep_of = rows.where("rep != doc_key").groupBy("doc_key").agg(F.min("rep").alias("rep"))
 
