@@ -92,6 +92,22 @@ def link(entities: DataFrame, key: str, records: dict[str, DataFrame]) -> DataFr
     return out.fillna(fill).withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def visible(intervals: DataFrame, by: str, chosen: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Intervals of the chosen groups (a column named ``by``), and with ``links`` (a, b) also of the groups that are linked with one of them; ``near`` tells those apart."""
+    keep = chosen.select(by, F.lit(False).alias("near"))
+    if links is not None:
+        both = links.select(F.col("a").alias(by), F.col("b").alias("__o")).union(links.select("b", "a"))
+        keep = keep.unionByName(both.join(chosen.select(F.col(by).alias("__o")), "__o", "left_semi").select(by, F.lit(True).alias("near")))
+        keep = keep.groupBy(by).agg(F.bool_and("near").alias("near"))
+    return intervals.join(keep, by)
+
+
+def grouped_steps(intervals: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """Step series of every grouping at once, such as by node and by kind: grouping, value (as text), t, level."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("grouping"), c.cast("string").alias("value")) for n, c in groups.items()]))
+    return steps(intervals.select("start", "stop", each.alias("__g")).select("__g.*", "start", "stop"), ["grouping", "value"])
+
+
 def peak(intervals: DataFrame, by: list[str]) -> DataFrame:
     return steps(intervals, by).groupBy(*by).agg(F.max("level").alias("max_levels"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,25 @@ def transpose(region: DataFrame, a: str, b: str) -> DataFrame:
     return region.select([F.col(c).alias({a: b, b: a}.get(c, c)) for c in region.columns])
 
 
+def union_of(spaces: list[DataFrame], keys: list[str]) -> DataFrame:
+    return fold(DataFrame.unionByName, [x.select(keys) for x in spaces]).distinct()
+
+
+def intersection_of(spaces: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The points that all spaces have: one count by point, however many spaces there are."""
+    marked = [x.select(*keys, F.lit(k).alias("__k")).distinct() for k, x in enumerate(spaces)]
+    return fold(DataFrame.unionByName, marked).groupBy(keys).agg(F.count("*").alias("__n")).where(F.col("__n") == len(spaces)).select(keys)
+
+
+def subtraction_of(space: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
+    return space.select(keys).distinct().join(union_of(others, keys), keys, "left_anti")
+
+
+def contains_any(space: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: does a space hold some of the points (do two spaces overlap)."""
+    return points.select(keys).join(space.select(keys), keys, "left_semi").agg((F.count("*") > 0).alias("contains_any"))
+
+
 def contained(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row: is every point of ``a`` in ``b``."""
     return a.select(keys).join(b.select(keys), keys, "left_anti").agg((F.count("*") == 0).alias("contained"))

@@ -604,7 +604,7 @@ def l7(spark, d):
 
 @query("l8_visible", "WITH " + RECORDS + "SELECT id, proc FROM records WHERE proc IN (1, 4)")
 def l8(spark, d):
-    return _records(spark, d).where(F.col("proc").isin(1, 4)).select("id", "proc")
+    return L.visible(_records(spark, d).select("id", "proc"), "proc", spark.createDataFrame([(1,), (4,)], "proc long")).drop("near")
 
 
 @query("l9_latency", "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS messages, round(avg(x), 4) AS mean, round(coalesce(var_samp(x), 0), 2) AS variance, round(avg((x > 40)::INT), 6) AS share_over FROM (SELECT *, o_orderkey * 31 % 97 - o_orderkey * 17 % 11 AS x FROM orders) GROUP BY ALL")

@@ -221,3 +221,23 @@ def c6(spark, d):
 @query("o1_sorted", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
 def o1(spark, d):
     return numbered(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "place").orderBy("place")
+
+
+@query("o2_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def o2(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("o3_many_spaces", """WITH a AS (SELECT c_custkey AS pt FROM customer WHERE c_nationkey < 15), b AS (SELECT c_custkey AS pt FROM customer WHERE c_acctbal > 0), c AS (SELECT o_custkey AS pt FROM orders)
+SELECT pt, 'all' AS what FROM (SELECT pt FROM a INTERSECT SELECT pt FROM b INTERSECT SELECT pt FROM c) UNION ALL SELECT pt, 'any' FROM (SELECT pt FROM a UNION SELECT pt FROM b UNION SELECT pt FROM c) UNION ALL SELECT pt, 'less' FROM (SELECT pt FROM a EXCEPT SELECT pt FROM b EXCEPT SELECT pt FROM c)""")
+def o3_many(spark, d):
+    c = table(spark, d, "customer")
+    spaces = [c.where("c_nationkey < 15").select(F.col("c_custkey").alias("pt")), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("pt")), table(spark, d, "orders").select(F.col("o_custkey").alias("pt"))]
+    found = {"all": C.intersection_of(spaces, ["pt"]), "any": C.union_of(spaces, ["pt"]), "less": C.subtraction_of(spaces[0], spaces[1:], ["pt"])}
+    rows = [x.withColumn("what", F.lit(n)) for n, x in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("p15_contains_any", "SELECT (SELECT count(*) > 0 FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IN (SELECT c_custkey FROM customer)) AS contains_any")
+def p15_any(spark, d):
+    return C.contains_any(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("pt")), table(spark, d, "customer").select(F.col("c_custkey").alias("pt")), ["pt"])

@@ -32,6 +32,12 @@ def p9(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ptr.alias("ptr"), S.is_null(ptr).alias("is_null"))
 
 
+@query("p10_casts", "SELECT p_partkey, trunc(p_retailprice)::INTEGER AS whole, p_size::DOUBLE AS wide, p_partkey::VARCHAR AS text, p_size > 25 AS flag, (p_size > 25)::INTEGER AS bit FROM part")
+def p10_casts(spark, d):
+    big = F.col("p_size") > 25
+    return table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("int").alias("whole"), F.col("p_size").cast("double").alias("wide"), F.col("p_partkey").cast("string").alias("text"), big.alias("flag"), big.cast("int").alias("bit"))
+
+
 @query("p11_structs", "SELECT p_partkey, p_size * 2 AS w, p_retailprice AS price, p_brand AS brand FROM part")
 def p11(spark, d):
     inner = F.struct((F.col("p_size") * 2).alias("w"), F.col("p_retailprice").alias("price"))

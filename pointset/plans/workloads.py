@@ -114,3 +114,18 @@ def g10_field(spark, d):
     p = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("px"), (F.col("o_orderkey") / 8).alias("py"), (F.col("o_orderkey") % 5).cast("double").alias("charge"))
     grid = G.deposit(p, 64.0, ("px", "py")).withColumnRenamed("charge", "field")
     return G.gather_field(p, grid, 64.0, ("px", "py"), ["field"]).select("o_orderkey", "field")
+
+
+@query("l4_groupings", "WITH " + RECORDS + """, g AS (SELECT 'kind' AS grouping, kind AS value, start, stop FROM records UNION ALL SELECT 'node', (proc % 2)::VARCHAR, start, stop FROM records),
+ends AS (SELECT grouping, value, start AS t, 1 AS w FROM g UNION ALL SELECT grouping, value, stop, -1 FROM g), sums AS (SELECT grouping, value, t, sum(w) AS w FROM ends GROUP BY ALL)
+SELECT grouping, value, t, (sum(w) OVER (PARTITION BY grouping, value ORDER BY t))::BIGINT AS level FROM sums""")
+def l4(spark, d):
+    return L.grouped_steps(records(spark, d), {"kind": F.col("kind"), "node": F.col("proc") % 2})
+
+
+@query("l8_visible_near", "WITH " + RECORDS + "SELECT id, proc, proc <> 1 AS near FROM records WHERE proc IN (1, 3, 6)")
+def l8_near(spark, d):
+    r = records(spark, d)
+    chosen = spark.createDataFrame([(1,)], "proc long")
+    links = spark.createDataFrame([(1, 3), (6, 1), (3, 6), (4, 5)], "a long, b long")
+    return L.visible(r.select("id", "proc"), "proc", chosen, links)
