@@ -28,8 +28,8 @@ from pointset.llm.common import id_key, small_batches
 #: What ``str.split`` takes for white space and the tokenizers' \\s does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Chunks that a worker remembers.
-REMEMBERED = 100_000
+#: Chunks that a worker remembers, and the characters of the longest; longer ones hardly come again.
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 #: Letters below this are one code point each under NFC, and their lower case is the same everywhere.
 LATIN_END, STOPS = "\u0130", ",.;:!?"
 
@@ -98,9 +98,10 @@ class Chunks(dict):
         else:
             normal = self.normal.normalize_str(chunk) if self.normal else chunk
             packed = b"".join(self.one(piece) for piece, _ in self.pre.pre_tokenize_str(normal))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = packed
+        if len(chunk) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = packed
         return packed
 
     def one(self, piece: str) -> bytes:
