@@ -37,18 +37,31 @@ def launch_reduce(partition: Partition, region: DataFrame, result: Column, op: s
 
 
 def reduce_by_task(df: DataFrame, by: list[str], partial: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], state: str) -> DataFrame:
-    """A reduction that the user defines, in two steps, so that no group has to be in one task.
+    """A reduction that the user defines, in two steps, so that no group has to be in memory as a whole.
 
-    partial: a batch of rows -> one state for each key in it (columns ``by`` and the state); merge: the states of one key ->
-    one state.  ``state`` is the schema of the state columns.  States of a key are as many as batches that hold it, at most.
+    partial: a batch of rows -> one state for each key in it (columns ``by`` and the state); merge: states of some keys -> one
+    state for each of them.  ``state`` is the schema of the state columns.  States come to the merge in the order of their
+    keys, a batch at a time; the last key of a batch is carried on to the next.
     """
     kinds = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + [state])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield partial(batch)
 
-    return df.mapInPandas(run, kinds).groupBy(*by).applyInPandas(merge, kinds)
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if len(batch):
+                own = merge(batch if held is None else pd.concat([held, batch]))
+                last = fold(lambda a, b: a & b, [(own[c] == batch[c].iloc[-1]) | (own[c].isna() & pd.isna(batch[c].iloc[-1])) for c in by])
+                held = own[last]
+                yield own[~last]
+        if held is not None:
+            yield held
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.mapInPandas(begin, kinds).repartition(n, *by).sortWithinPartitions(*by).mapInPandas(finish, kinds)
 
 
 def single_task(spark: SparkSession, task: Callable[[SparkSession], DataFrame], out: str = "value") -> DataFrame:

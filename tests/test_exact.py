@@ -268,6 +268,21 @@ def test_user_reduction_and_pickled_values(spark):
     assert found == {"a": [1, 2, 3], "b": []}
 
 
+def test_states_of_a_key_over_many_batches(spark):
+    rows = spark.range(4000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 7 != 3, F.col("id")).alias("v"), (F.col("id") % 3).alias("j")).repartition(9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        total = lambda part: part.groupby(["k", "j"], as_index=False)["v"].sum()
+        found = U.reduce_by_task(rows.fillna(0), ["k", "j"], total, total, "v long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for i in range(4000):
+        want[i % 7, i % 3] = want.get((i % 7, i % 3), 0) + (i if i % 7 != 3 else 0)
+    assert len(found) == 21 and {(r["k"], r["j"]): r["v"] for r in found} == want
+
+
 def test_binary_files_in_ranges(spark, tmp_path):
     x = np.zeros(3000, [("k", "<i8"), ("v", "<f4")])
     x["k"], x["v"] = np.arange(3000), np.arange(3000) / 4
