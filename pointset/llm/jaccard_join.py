@@ -565,8 +565,8 @@ def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs:
         return df.distinct()
 
     candidates = scratch.written(of_reps(routed.where("kind = 1").select("u", "v").distinct(), "u", "v").where("u != v"), "candidates")
-    wanted = candidates.select(F.explode(F.array("u", "v")).alias("doc_key")).distinct()
-    sets = scratch.written(texts.join(wanted, "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
+    wanted = candidates.select(F.explode(F.array("u", "v")).alias("doc_key")).distinct()  # grows with the documents: never broadcast
+    sets = scratch.written(texts.join(wanted.hint("merge"), "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
     possible = _both_ends(candidates, sets, "map", "n").mapInArrow(_pairs(similar, False), "u long, v long")
     block_of = components(possible, scratch).toDF("doc_key", "block")
     blocked = sets.join(block_of, "doc_key")
