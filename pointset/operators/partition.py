@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce as fold
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -372,8 +371,3 @@ def constrained(df: DataFrame, *holds: DataFrame) -> DataFrame:
         checked = h.select(F.when(F.col("holds"), F.lit(True)).otherwise(F.raise_error(F.lit("a constraint on regions does not hold")).cast("boolean")).alias("__holds"))
         df = df.crossJoin(F.broadcast(checked)).where("__holds").drop("__holds")  # one row
     return df
-
-
-def grid_of(extents: list[int]) -> list[tuple[int, ...]]:
-    """The colors of a dense color space."""
-    return list(product(*map(range, extents)))

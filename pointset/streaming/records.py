@@ -11,10 +11,5 @@ def record_stream(spark: SparkSession, folder: str, schema: str, files_at_once:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def latest_by_key(records: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
-    """Records without repeats of (key, time) within the watermark, as they arrive."""
-    return records.withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
-
-
 def counts_by_window(records: DataFrame, time: str, kind: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     return records.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("records"), F.sum("value").alias("total"))
