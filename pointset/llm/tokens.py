@@ -28,10 +28,12 @@ from pointset.llm.common import id_key, small_batches
 #: What ``str.split`` takes for white space and the tokenizers' \\s does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Chunks that a worker remembers, and the characters of the longest; longer ones hardly come again.
+#: Chunks of a generation that a worker remembers, and the characters of the longest; longer ones hardly come again.
 REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 #: Letters below this are one code point each under NFC, and their lower case is the same everywhere.
-LATIN_END, STOPS = "\u0130", ",.;:!?"
+LATIN_END = "\u0130"
+#: Marks that may end a chunk; an apostrophe may belong to the letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_level() -> dict[int, str]:
@@ -79,31 +81,58 @@ def prove_whole_tokens(path: str) -> dict[str, int]:
 
 
 class Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+    """chunk -> its ids as little-endian unsigned 32-bit numbers.
+
+    A full memory becomes the older of two generations; what is met there again goes into the new one, so frequent chunks stay.
+    """
 
     def __init__(self, path: str, whole: dict[str, int]):
         super().__init__()
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.model, self.normal, self.pre = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[str, bytes] = {}
+        #: marks -> their ids, or None where letters before them change what the library makes of them
+        self.tails: dict[str, bytes | None] = {}
+        self.marks = "" if any(not (head := x.rstrip(MARKS)) or head.isalpha() for x in self.special) else MARKS
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN_END):
-            low = chunk.lower()
-            packed = self.one(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LEVEL))
-        elif chunk[-1] in STOPS and (head := chunk[:-1]).isalpha() and (head.isascii() or max(head) < LATIN_END):
-            return self[head] + self.one(chunk[-1])  # letters that NFC keeps, then one mark: two pre-tokens
-        elif any(x in chunk for x in self.special):
-            packed = pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        else:
-            normal = self.normal.normalize_str(chunk) if self.normal else chunk
-            packed = b"".join(self.one(piece) for piece, _ in self.pre.pre_tokenize_str(normal))
+        packed = self.older.get(chunk)
+        if packed is None:
+            packed = self.made(chunk)
         if len(chunk) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
 
+    def made(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            if chunk.isascii() or max(chunk) < LATIN_END:
+                low = chunk.lower()
+                return self.one(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LEVEL))
+        elif (head := chunk.rstrip(self.marks)).isalpha() and (head.isascii() or max(head) < LATIN_END):
+            tail = self.tail(chunk[len(head) :])
+            if tail is not None:
+                return self[head] + tail  # letters that NFC keeps, then marks
+        if any(x in chunk for x in self.special):
+            return pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return b"".join(map(self.one, self.pieces(chunk)))
+
+    def pieces(self, text: str) -> list[str]:
+        return [piece for piece, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(text) if self.normal else text)]
+
+    def tail(self, marks: str) -> bytes | None:
+        """The ids of marks behind letters, if the library parts them there."""
+        if marks in self.tails:
+            return self.tails[marks]
+        own = self.pieces(marks)
+        packed = b"".join(map(self.one, own)) if self.pieces("ab" + marks) == ["ab", *own] else None
+        if len(marks) <= REMEMBERED_LENGTH and len(self.tails) < REMEMBERED:
+            self.tails[marks] = packed
+        return packed
+
     def one(self, piece: str) -> bytes:
         """A pre-token's ids: the proven ones directly, the rest by the library's merges."""
         whole = self.whole.get(piece)

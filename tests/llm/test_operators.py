@@ -401,6 +401,18 @@ def test_token_counts_are_the_librarys(spark, texts):
         assert (found[k]["n_bytes"], found[k]["n_tokens"], found[k]["over_limit"]) == (len((t or "").encode()), n, n > 2048), t
 
 
+def test_frequent_chunks_stay_in_memory(monkeypatch):
+    """A word between rare ones is made once, however often the memory is full; marks behind letters are what the library makes of them."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    made, library, one = [], Tokenizer.from_file(VOCABULARY), tokens.Chunks.one
+    monkeypatch.setattr(tokens.Chunks, "one", lambda self, piece: made.append(piece) or one(self, piece))
+    chunks, rng = tokens.Chunks(VOCABULARY, tokens.prove_whole_tokens(VOCABULARY)), random.Random(4)
+    words = [x for k in range(300) for x in ("Frequent", f"rare{''.join(rng.choices('abcdefgh', k=8))}{rng.choice(['', ',', '###', '...!', '<', '$$', '-'])}")]
+    words += ["it's", "x'###", "a'", "é.", "Straße!?", "<|endoftext|>", "a<|endoftext|>", "ab12!!", "日本###", "#", "o" * 70 + "&&&", "e\u0301,"]
+    assert chunks.ids(" ".join(words)) == tokens.pack(library.encode(" ".join(words), add_special_tokens=False).ids)
+    assert made.count("frequent") == 1
+
+
 def test_packing_holds_every_piece(spark, texts):
     library = Tokenizer.from_file(VOCABULARY)
     want = {}
