@@ -21,9 +21,10 @@ How it runs on Spark
 4. Blocks of several chunks that are not one component yet: the documents outside the largest component meet all chunks
    of the block, tree against tree.
 5. Groups of an equal part that still hold several components (a passage that many documents share can make a part): the
-   same dual traversal, on bitmaps only; pairs that it cannot rule out are verified on the sets.  Like documents share
+   same dual traversal, on bitmaps only, marks the documents of a group that it cannot rule out, never their pairs; these
+   alone meet again, with their sets.  Like documents share
    most of their groups: a document carries the group that each of a few orders of all groups puts first among its own,
-   and a pair that has the same group in one of them is named by that group alone.
+   and a pair that has the same group in one of them is looked at in that group alone.
    So every pair with an equal part is verified, proved too far apart by a bound, or already connected; no link that
    changes a component is lost, whatever the sizes.
 
@@ -431,55 +432,58 @@ def similar_sets(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool
     return common * similar[1] >= similar[0] * (len(x) + len(y) - common)
 
 
-def named_here(one: np.ndarray, two: np.ndarray, block: int) -> np.ndarray:
-    """Whether this block names a pair, from the first blocks of either document: the first that is the same names it, and every block if none is."""
-    same = one == two
-    return ~same.any(1) | (one[np.arange(len(one)), same.argmax(1)] == block)
+def named_here(one: list[int], two: list[int], block: int) -> bool:
+    """Whether this block looks at a pair, from the first blocks of either document: the first that is the same does, and every block if none is."""
+    return next((x == block for x, y in zip(one, two, strict=True) if x == y), True)
 
 
-def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, similar: tuple[int, int], firsts: np.ndarray | None = None, block: int = 0) -> np.ndarray:
-    """With sets: rows (u, v) of components of the group's documents that are linked.  Without: pairs of documents that the bitmaps do not rule out and that ``block`` names."""
+def join_group(doc: np.ndarray, side: np.ndarray, comp: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, similar: tuple[int, int], firsts: list[list[int]] | None = None, block: int = 0) -> np.ndarray:
+    """With sets: rows (u, v) of components of the group's documents that are linked.  Without: the places of the documents of which the bitmaps do not rule out some pair.  With firsts: of the pairs that ``block`` looks at."""
     _, labels = np.unique(comp, return_inverse=True)
     first = np.full(labels.max() + 1, len(comp), np.int64)
     np.minimum.at(first, labels, np.arange(len(comp)))
-    forest, pairs = Forest(first[labels]), []
+    forest, open_ = Forest(first[labels]), bytearray(len(comp))
     words = min(len(m) for m in maps)
 
     def linked(i: int, j: int) -> bool:
+        if sets is None and open_[i] and open_[j]:
+            return False
+        if firsts is not None and not named_here(firsts[i], firsts[j], block):
+            return False
         if sets is not None:
             return similar_sets(sets[i], sets[j], similar)
-        pairs.append((i, j))
+        open_[i] = open_[j] = 1
         return False
 
     left = SignatureTree(np.flatnonzero(side == 0), maps, sizes, words)
     right = left if (side == 0).all() else SignatureTree(np.flatnonzero(side == 1), maps, sizes, words)
     dual_traversal(left, right, forest, similar, linked)
     if sets is None:
-        found = np.array(pairs, np.int64).reshape(-1, 2)
-        if firsts is not None:
-            found = found[named_here(firsts[found[:, 0]], firsts[found[:, 1]], block)]
-        return np.unique(np.sort(doc[found], axis=1), axis=0)
+        return np.flatnonzero(np.frombuffer(open_, bool))
     links = np.stack([comp, comp[forest.flatten()]], 1)
     return np.unique(links[links[:, 0] != links[:, 1]], axis=0)
 
 
-def _tree_join(similar: tuple[int, int], with_sets: bool):
-    """Rows sorted by (block, a, b) -> links.  b = -1: a group joined with itself; else its side 0 with its side 1."""
+def _tree_join(similar: tuple[int, int], *more: str):
+    """Rows sorted by (block, a, b) -> links (u, v), or without shingles the rows that it leaves open (block, doc_key, comp, n, firsts).  b = -1: a group joined with itself; else its side 0 with its side 1.  ``more``: shingles, firsts."""
+    names = ("doc_key", "side", "comp", "n", "map", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def close() -> Iterator[pa.RecordBatch]:
             if now is not None and (now[2] == -1 or len({r[1] for r in held}) == 2):
-                doc, side, comp, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
-                sets = [np.frombuffer(r[5], np.uint64) for r in held] if with_sets else None
-                firsts = None if with_sets else np.array([r[5] for r in held], np.int64)
-                links = join_group(doc, side, comp, size, [np.frombuffer(r[4], np.uint64) for r in held], sets, similar, firsts, now[0])
-                yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+                column = dict(zip(names, zip(*held, strict=True), strict=True))
+                doc, side, comp, size = (np.array(column[c], np.int64) for c in names[:4])
+                sets = [np.frombuffer(x, np.uint64) for x in column["shingles"]] if "shingles" in more else None
+                found = join_group(doc, side, comp, size, [np.frombuffer(x, np.uint64) for x in column["map"]], sets, similar, column.get("firsts"), now[0])
+                if sets is None:
+                    yield pa.record_batch([pa.array(np.full(len(found), now[0])), *[pa.array(x[found]) for x in (doc, comp, size)], pa.array([column["firsts"][i] for i in found], pa.list_(pa.int64()))], names=["block", "doc_key", "comp", "n", "firsts"])
+                else:
+                    yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-        names = ("block", "a", "b", "doc_key", "side", "comp", "n", "map", "shingles" if with_sets else "firsts")
         for batch in batches:
-            for block, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for block, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b", *names)), strict=True):
                 if (block, a, b) != now:
                     yield from close()
                     held, now = [], (block, a, b)
@@ -500,18 +504,14 @@ def _sets(words: int):
     return run
 
 
-def _pairs(similar: tuple[int, int], with_sets: bool):
-    """Pairs (u, v, and what both hold) that are linked, or that the bitmaps do not rule out."""
+def _possible(similar: tuple[int, int]):
+    """Pairs (u, v, and what both hold) that the bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            names = ("u_shingles", "v_shingles") if with_sets else ("u_map", "v_map", "u_n", "v_n")
-            for x, y, *n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for x, y, *n in zip(*(batch.column(c).to_pylist() for c in ("u_map", "v_map", "u_n", "v_n")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if with_sets:
-                    keep.append(similar_sets(x, y, similar))
-                    continue
                 words = min(len(x), len(y))
                 x, y = narrowed(x, words), narrowed(y, words)
                 shared = min(n[0] - int(np.bitwise_count(x).sum()), n[1] - int(np.bitwise_count(y).sum()))
@@ -567,7 +567,7 @@ def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs:
     candidates = scratch.written(of_reps(routed.where("kind = 1").select("u", "v").distinct(), "u", "v").where("u != v"), "candidates")
     wanted = candidates.select(F.explode(F.array("u", "v")).alias("doc_key")).distinct()  # grows with the documents: never broadcast
     sets = scratch.written(texts.join(wanted.hint("merge"), "doc_key").mapInArrow(_sets(words), "doc_key long, n long, map binary, shingles binary").where("n > 0"), "sets")
-    possible = _both_ends(candidates, sets, "map", "n").mapInArrow(_pairs(similar, False), "u long, v long")
+    possible = _both_ends(candidates, sets, "map", "n").mapInArrow(_possible(similar), "u long, v long")
     block_of = components(possible, scratch).toDF("doc_key", "block")
     blocked = sets.join(block_of, "doc_key")
     # first each chunk of a block, and with it the block's first document
@@ -577,12 +577,12 @@ def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs:
     what = ["doc_key", "comp", "n", "map"]
     alone = blocked.join(chunks, "block").select("block", F.explode(every).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), "doc_key", F.col("doc_key").alias("comp"), "n", "map", "shingles")
     tree = "u long, v long"
-    links = scratch.written(_grouped(alone, n).mapInArrow(_tree_join(similar, True), tree), "chunk-links")
+    links = scratch.written(_grouped(alone, n).mapInArrow(_tree_join(similar, "shingles"), tree), "chunk-links")
     # then what chunks have not connected in large blocks
     large = chunks.where("chunks > 1").select("block")
     if not large.isEmpty():
         rest = blocked.join(large, "block").join(components(links, scratch).toDF("doc_key", "comp"), "doc_key", "left").withColumn("comp", F.coalesce("comp", "doc_key"))
-        links = scratch.written(links.unionByName(_grouped(_tasks(rest, chunk_docs, chunk_shingles, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, True), tree)), "block-links")
+        links = scratch.written(links.unionByName(_grouped(_tasks(rest, chunk_docs, chunk_shingles, [*what, "shingles"]), n).mapInArrow(_tree_join(similar, "shingles"), tree)), "block-links")
     # then groups of an equal part that still hold several components
     label = components(links, scratch).toDF("rep", "comp")
     comp_of = reps.join(label, "rep", "left").select(F.col("doc_key").alias("v"), "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -591,8 +591,10 @@ def _linked(texts: DataFrame, words: int, similar: tuple[int, int], chunk_docs:
     across = scratch.written(parts.join(mixed_parts, "block").distinct(), "mixed-parts")
     firsts = across.groupBy("doc_key").agg(*[F.min_by("block", F.xxhash64("block", F.lit(i))).alias(f"first{i}") for i in range(ORDERS)])
     across = across.join(sets.select("doc_key", "n", "map"), "doc_key").join(firsts.select("doc_key", F.array(*[f"first{i}" for i in range(ORDERS)]).alias("firsts")), "doc_key")
-    pairs = scratch.written(_grouped(_tasks(across, chunk_docs, 4 * chunk_shingles, [*what, "firsts"]), n).mapInArrow(_tree_join(similar, False), tree).distinct(), "pairs")
-    found = _both_ends(pairs, sets, "shingles").mapInArrow(_pairs(similar, True), tree)
+    marked = _grouped(_tasks(across, chunk_docs, 4 * chunk_shingles, [*what, "firsts"]), n).mapInArrow(_tree_join(similar, "firsts"), "block long, doc_key long, comp long, n long, firsts array<long>")
+    open_ = scratch.written(marked.distinct(), "open")
+    exact = _tasks(open_, chunk_docs, chunk_shingles, ["doc_key", "comp", "n", "firsts"]).join(sets.select("doc_key", "map", "shingles").hint("merge"), "doc_key")
+    found = _grouped(exact, n).mapInArrow(_tree_join(similar, "shingles", "firsts"), tree)
     # what is found across joins the components that are known
     one = components(label.toDF("u", "v").unionByName(found), scratch).toDF("rep", "component")
     one = reps.join(one, "rep", "left").select("doc_key", F.coalesce("component", "rep").alias("component"))

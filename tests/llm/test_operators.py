@@ -594,6 +594,19 @@ def test_similarity_join_on_dense_near_copies(spark):
     assert {r["doc_key"]: (r["n_shingles"], r["component"]) for r in found.collect()} == brute_components(rows, 5, (80, 100))
 
 
+def test_a_group_gives_no_more_rows_than_it_has(spark):
+    """Documents that the bitmaps cannot tell apart: the group names its documents, not their pairs."""
+    n = 200
+    same = [np.full(1, 255, np.uint64)] * n
+    doc = np.arange(n, dtype=np.int64)
+    assert len(jaccard_join.join_group(doc, np.zeros(n, np.int64), doc, np.full(n, 8), same, None, (80, 100))) <= n
+    rng = random.Random(21)  # a passage of 40 words and 8 to 12 words of their own: some pairs link, most do not
+    passage = prose(rng, 40)
+    rows = [(k, f"{passage} {prose(rng, rng.randrange(8, 13))}" if k % 3 else near(rng, passage, 0.02)) for k in range(150)]
+    found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similar=(80, 100), chunk_docs=40)
+    assert {r["doc_key"]: (r["n_shingles"], r["component"]) for r in found.collect()} == brute_components(rows, 5, (80, 100))
+
+
 # --- defined cases ------------------------------------------------------------------------------------------------------
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc_key long, row string, score double"
