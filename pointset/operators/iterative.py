@@ -9,14 +9,15 @@ from pointset.operators.intervals import iterate
 from pointset.operators.scan import stencil_nd
 
 
-def dealt(edges: DataFrame, by: str) -> DataFrame:
-    """Edges made once, as a checkpoint that is dealt by one end: each round then moves only the state."""
-    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).checkpoint()
+def dealt(edges: DataFrame, by: str, once: bool = False) -> DataFrame:
+    """Edges made once, as a checkpoint that is dealt by one end and sorted by it: each round then moves and sorts only the state.  ``once``: of edges that repeat one stays, which takes no further shuffle."""
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    return (edges.distinct() if once else edges).sortWithinPartitions(by).checkpoint()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, alpha: float = 0.85) -> DataFrame:
-    """Pull PageRank; the score kept is already divided by the out-degree (at least one)."""
-    edges = dealt(edges, "src")
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, alpha: float = 0.85, are_dealt: bool = False) -> DataFrame:
+    """Pull PageRank; the score kept is already divided by the out-degree (at least one).  ``are_dealt``: the edges come from ``dealt`` by src."""
+    edges = edges if are_dealt else dealt(edges, "src")
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     base = nodes.select("id").join(degree, "id", "left").select("id", F.greatest(F.coalesce("degree", F.lit(0)), F.lit(1)).alias("degree"))
     total = F.broadcast(base.agg(F.count("*").alias("n")))  # one row
@@ -30,12 +31,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, alpha: float = 0.8
     return iterate(start, step, rounds).select("id", "score")
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, are_dealt: bool = False) -> DataFrame:
     """Bellman-Ford from several sources, until a round changes no distance (null: not reached).
 
     Costs are not negative on any cycle, or there is no least distance.  Each round is a checkpoint.
+    ``are_dealt``: the edges come from ``dealt`` by src.
     """
-    edges = dealt(edges, "src")
+    edges = edges if are_dealt else dealt(edges, "src")
     state = nodes.select("id").join(sources.select("id", F.lit(0).cast("long").alias("distance")), "id", "left").withColumn("__new", F.col("distance").isNotNull()).checkpoint()
 
     while not state.where("__new").isEmpty():
@@ -56,13 +58,13 @@ def star_stencil(grid: DataFrame, rounds: int, radius: int = 1) -> DataFrame:
     return iterate(grid, step, rounds)
 
 
-def circuit(nodes: DataFrame, wires: DataFrame, rounds: int, dt: float = 1e-3) -> DataFrame:
+def circuit(nodes: DataFrame, wires: DataFrame, rounds: int, dt: float = 1e-3, are_dealt: bool = False) -> DataFrame:
     """Currents from voltages, charge scattered to both ends of each wire, voltages from charge.
 
-    nodes: id, capacity, voltage; wires: src, dst, resistance.
+    nodes: id, capacity, voltage; wires: src, dst, resistance.  ``are_dealt``: the wires come from ``dealt`` by src.
     """
 
-    wires = dealt(wires, "src")
+    wires = wires if are_dealt else dealt(wires, "src")
 
     def step(s: DataFrame) -> DataFrame:
         a, b = s.select(F.col("id").alias("src"), F.col("voltage").alias("va")), s.select(F.col("id").alias("dst"), F.col("voltage").alias("vb"))

@@ -655,8 +655,9 @@ def l14(spark, d):
 
 # iterative workloads
 def _trade(spark, d):
+    """Nodes, and edges both ways as a checkpoint dealt by src, from which the nodes are read."""
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
-    edges = li.unionAll(li.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    edges = G.dealt(li.unionAll(li.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "src", once=True)
     return edges.select(F.col("src").alias("id")).distinct(), edges
 
 
@@ -673,14 +674,14 @@ def _rank_sql(rounds):
 @query("g1_pagerank", _rank_sql(5))
 def g1(spark, d):
     checkpoints(spark)
-    return G.pagerank(*_trade(spark, d), rounds=5).withColumn("score", F.round("score", 9))
+    return G.pagerank(*_trade(spark, d), rounds=5, are_dealt=True).withColumn("score", F.round("score", 9))
 
 
 @query("g2_shortest_paths", "WITH " + TRADE + "," + ", ".join(f"b{k} AS (SELECT n.id, least(o.distance, m.m) AS distance FROM nodes n LEFT JOIN b{k - 1} o ON o.id = n.id LEFT JOIN (SELECT dst, min(distance + (src + dst) % 7 + 1) AS m FROM edges JOIN b{k - 1} ON src = id WHERE distance IS NOT NULL GROUP BY 1) m ON m.dst = n.id)" if k else "b0 AS (SELECT id, CASE WHEN id IN (0, 3) THEN 0 END AS distance FROM nodes)" for k in range(8)) + " SELECT id, distance::BIGINT AS distance FROM b7")
 def g2(spark, d):
     checkpoints(spark)
     nodes, edges = _trade(spark, d)
-    return G.shortest_paths(nodes, edges.withColumn("cost", (F.col("src") + F.col("dst")) % 7 + 1), nodes.where("id in (0, 3)"))
+    return G.shortest_paths(nodes, edges.withColumn("cost", (F.col("src") + F.col("dst")) % 7 + 1), nodes.where("id in (0, 3)"), are_dealt=True)
 
 
 def _circuit_sql(rounds):
@@ -695,7 +696,7 @@ def g3(spark, d):
     checkpoints(spark)
     nodes, edges = _trade(spark, d)
     n = nodes.select("id", F.lit(1.0).alias("capacity"), (F.col("id") % 13).cast("double").alias("voltage"))
-    return G.circuit(n, edges.where("src < dst").withColumn("resistance", F.lit(2.0)), 3).withColumn("voltage", F.round("voltage", 6))
+    return G.circuit(n, edges.where("src < dst").withColumn("resistance", F.lit(2.0)), 3, are_dealt=True).withColumn("voltage", F.round("voltage", 6))
 
 
 @query("g4_star_stencil", """WITH g AS (SELECT a, b FROM range(50) t(a), range(50) u(b)), s AS (SELECT unnest([-2, -1, 1, 2]) AS d),

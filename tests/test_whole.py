@@ -66,3 +66,12 @@ def test_shortest_paths_over_many_edges(spark, tmp_path):
             for to in near[at]:
                 heapq.heappush(heap, (far + (at + to) % 7 + 1, to))
     assert found(spark, tmp_path, "g2_shortest_paths", ["id", "distance"]) == {(n, least.get(n)) for n in near}
+
+
+def test_edges_are_made_once(spark):
+    """Nodes and degrees are read from the dealt edges, without a second pass over lineitem."""
+    catalog.checkpoints(spark)
+    nodes, edges = catalog._trade(spark, "/root/testdata/sf0.001")
+    assert edges.count() == edges.distinct().count() > 0
+    for rows in (nodes, edges.groupBy("src").count()):
+        assert "parquet" not in rows._jdf.queryExecution().executedPlan().toString()
