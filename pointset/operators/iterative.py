@@ -10,7 +10,7 @@ from pointset.operators.scan import stencil_nd
 
 
 def dealt(edges: DataFrame, by: str, once: bool = False) -> DataFrame:
-    """Edges made once, as a checkpoint that is dealt by one end and sorted by it: each round then moves and sorts only the state.  ``once``: of edges that repeat one stays, which takes no further shuffle."""
+    """Edges made once, as a checkpoint that is dealt by one end and sorted by it.  Under adaptive execution the checkpoint does not tell how it is dealt, and a join deals it again.  ``once``: of edges that repeat one stays, which takes no further shuffle."""
     edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
     return (edges.distinct() if once else edges).sortWithinPartitions(by).checkpoint()
 
